@@ -1,5 +1,5 @@
 """The modules that register queries."""
 
-from . import problems
+from . import analytics, problems, surface
 
-MODULES = [problems]
+MODULES = [problems, analytics, surface]
