@@ -101,7 +101,7 @@ def generalized_esd(values: np.ndarray, most: int, alpha: float = 0.025, hybrid:
 
 
 def find_period(values: np.ndarray) -> int | None:
-    """The lag from 2 to a third of the series with the greatest autocorrelation peak of the detrended values, if above 0.3."""
+    """The lag from 2 to a third of the series of the first autocorrelation peak of the detrended values that is above 0.3 and near the greatest."""
     n = len(values)
     if n < 8:
         return None
@@ -112,7 +112,8 @@ def find_period(values: np.ndarray) -> int | None:
     spectrum = np.fft.rfft(x, 2 * n)
     corr = np.fft.irfft(spectrum * np.conj(spectrum))[: n // 3 + 2] / energy * n / (n - np.arange(n // 3 + 2))
     peaks = [k for k in range(2, n // 3 + 1) if corr[k] > 0.3 and corr[k] >= corr[k - 1] and corr[k] >= corr[k + 1]]
-    return max(peaks, key=lambda k: corr[k] - k * 1e-9) if peaks else None
+    # multiples of the period peak as well; the first peak near the greatest is meant
+    return next((k for k in peaks if corr[k] >= 0.9 * max(corr[p] for p in peaks)), None)
 
 
 def decompose(values: np.ndarray, period: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +126,12 @@ def decompose(values: np.ndarray, period: int | None = None) -> tuple[np.ndarray
     n = len(values)
     period = period or find_period(values)
     width = max(3, period or n // 10) | 1
-    padded = np.pad(values, width // 2, mode="reflect" if n > width // 2 else "edge")
+    half = width // 2
+    if period and n >= 2 * period and half <= period:
+        # at the ends the series goes on as a period further in
+        padded = np.concatenate((values[period - half : period], values, values[n - period : n - period + half]))
+    else:
+        padded = np.pad(values, half, mode="reflect" if n > half else "edge")
     trend = np.median(np.lib.stride_tricks.sliding_window_view(padded, width), axis=1)[:n]
     rest = values - trend
     if period and n >= 2 * period:

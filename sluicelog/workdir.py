@@ -6,6 +6,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,9 +20,10 @@ def shared_dir(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"{_SETTING} must name a folder that all executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="sluicelog-")
-    spark.conf.set(_SETTING, root)
-    return root
+    own = spark.sparkContext.applicationId
+    if own not in _OWN:
+        _OWN[own] = "file://" + tempfile.mkdtemp(prefix="sluicelog-")
+    return _OWN[own]
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
