@@ -160,11 +160,12 @@ def stamp_dictionary(stamps: DataFrame, year: int, known: DataFrame | None = Non
 
 
 def normalise(stamps: DataFrame, year: int, known: DataFrame | None = None) -> DataFrame:
-    """``stamps`` (raw, zone, date_order and any other columns) with ``utc_us``.
+    """``stamps`` (raw, zone, date_order and any other columns) with ``utc_us``, which replaces a column of that name.
 
     Every row comes back once, repeated or not; see ``parse_stamps`` for what
     gives NULL. An empty table gives an empty one.
     """
+    stamps = stamps.drop("utc_us")
     entries = stamp_dictionary(stamps, year, known)
     keys = [F.col(f"s.{c}").eqNullSafe(F.col(f"d.{c}")) for c in ("raw", "zone", "date_order")]
     return stamps.alias("s").join(entries.where("utc_us IS NOT NULL").alias("d"), keys, "left").select("s.*", F.col("d.utc_us"))

@@ -121,8 +121,8 @@ CASES = [
 
 
 def test_fixed_cases(spark):
-    rows = [(i, *c[:3], "clash") for i, c in enumerate(CASES)] * 2
-    df = spark.createDataFrame(rows, "id int, raw string, zone string, date_order string, _s string")
+    rows = [(i, *c[:3], "clash", "clash") for i, c in enumerate(CASES)] * 2
+    df = spark.createDataFrame(rows, "id int, raw string, zone string, date_order string, _s string, utc_us string")
     got = timestamps.normalise(df, 2024).collect()
     assert len(got) == len(rows)
     for r in got:
