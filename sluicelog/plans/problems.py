@@ -100,7 +100,26 @@ _SESSIONS = f"""
     g AS (SELECT *, CASE WHEN t - lag(t) OVER w <= {GAP_MS} THEN 0 ELSE 1 END AS opens FROM e WINDOW w AS (PARTITION BY c_ip ORDER BY t)),
     s AS (SELECT *, sum(opens) OVER (PARTITION BY c_ip ORDER BY t ROWS UNBOUNDED PRECEDING) AS no FROM g)"""
 
+_FIELD = '("(?:[^"]|"")*"|[^",]*)'
+_CELL = _FIELD.replace("(", "(?:", 1)
+_LABEL = "[A-Za-z0-9]([A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
+
+
+def _field(i: int) -> str:
+    """Field ``i`` of a well quoted record in DuckDB's SQL."""
+    raw = f"regexp_extract(line, '^(?:{_CELL},){{{{{i}}}}}{_FIELD}', 1, 's')".replace("{{", "{").replace("}}", "}")
+    return f"CASE WHEN starts_with({raw}, '\"') THEN replace(substring({raw}, 2, length({raw}) - 2), '\"\"', '\"') ELSE {raw} END"
+
+
 SQL = {
+    "p5_found": f"""WITH q AS (SELECT line_id, line, regexp_full_match(line, '{_CELL}(,{_CELL})*', 's') AS quoted FROM http_lines),
+        n AS (SELECT *, length(regexp_replace(regexp_replace(line, '"([^"]|"")*"', '', 'gs'), '[^,]', '', 'gs')) + 1 AS n FROM q),
+        f AS (SELECT *, {_field(7)} AS host, {_field(17)} AS size, {_field(18)} AS status FROM n),
+        r AS (SELECT line_id, CASE WHEN NOT quoted THEN 'quoting' WHEN n <> 19 THEN 'columns'
+            WHEN host <> '-' AND NOT (length(host) <= 253 AND regexp_full_match(host, '{_LABEL}([.]{_LABEL})*', 's')) THEN 'host'
+            WHEN size <> '-' AND NOT (regexp_full_match(size, '[0-9]+', 's') AND TRY_CAST(size AS BIGINT) IS NOT NULL) THEN 'response_body_len'
+            WHEN status <> '-' AND NOT regexp_full_match(status, '[1-5][0-9][0-9]', 's') THEN 'status_code' END AS reason FROM f)
+        SELECT line_id, reason FROM r WHERE reason IS NOT NULL""",
     "p2_per_key": f"SELECT field, key_value, count(*) AS n_rows, min(t) AS first_time, max(t) AS last_time FROM ({_KEYS}) GROUP BY field, key_value",
     "p2_found": f"""WITH k AS (SELECT field, key_value, count(*) AS n FROM ({_KEYS}) GROUP BY 1, 2)
         SELECT field, key_value FROM k WHERE key_value IS NOT NULL

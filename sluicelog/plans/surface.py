@@ -38,23 +38,23 @@ BOTH = {
     "subquery_exists": "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT') AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')",
     "subquery_scalar": "SELECT p_partkey FROM part WHERE p_retailprice > (SELECT avg(p_retailprice) FROM part) AND p_size = (SELECT max(p_size) FROM part)",
     "join_lateral": """SELECT c_custkey, x.n, x.most FROM customer, LATERAL (SELECT count(*) AS n, max(o_totalprice) AS most FROM orders WHERE o_custkey = c_custkey) AS x""",
-    "agg_group": """SELECT l_returnflag, l_linestatus, sum(CAST(l_quantity AS BIGINT)) AS sum_qty, min(l_extendedprice) AS low, max(l_extendedprice) AS high, avg(l_quantity) AS avg_qty, count(*) AS n
+    "agg_group": """SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS sum_qty, min(l_extendedprice) AS low, max(l_extendedprice) AS high, avg(l_quantity) AS avg_qty, count(*) AS n
         FROM lineitem GROUP BY l_returnflag, l_linestatus""",
     "agg_having": "SELECT name, count(*) AS n FROM flows GROUP BY name HAVING count(*) >= 10",
     "agg_distinct": "SELECT s_ip, count(DISTINCT c_ip) AS clients, count(DISTINCT query) AS queries FROM dns GROUP BY s_ip",
     "agg_filter": "SELECT s_ip, count(*) FILTER (WHERE resp_code = 'NXDOMAIN') AS failed, count(*) AS n FROM dns GROUP BY s_ip",
     "agg_stats": "SELECT event_type, round(stddev_pop(value), 6) AS sp, round(stddev_samp(value), 6) AS ss, round(var_pop(value), 4) AS vp, round(corr(value, event_id), 8) AS c FROM events GROUP BY event_type",
-    "agg_rollup": "SELECT o_orderstatus, o_orderpriority, count(*) AS n, grouping(o_orderpriority) AS g FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)",
+    "agg_rollup": "SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(grouping(o_orderpriority) AS BIGINT) AS g FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)",
     "agg_cube": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
     "agg_grouping_sets": "SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY GROUPING SETS ((c_mktsegment), (c_nationkey), ())",
-    "win_rank": """SELECT s_suppkey, row_number() OVER w AS rn, rank() OVER w AS rk, dense_rank() OVER w AS dr, ntile(4) OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS q,
+    "win_rank": """SELECT s_suppkey, CAST(row_number() OVER w AS BIGINT) AS rn, CAST(rank() OVER w AS BIGINT) AS rk, CAST(dense_rank() OVER w AS BIGINT) AS dr, CAST(ntile(4) OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS BIGINT) AS q,
         round(percent_rank() OVER w, 9) AS pr, round(cume_dist() OVER w, 9) AS cd FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey)""",
     "win_lag_gap": """SELECT row_id, time_start - lag(time_start) OVER (PARTITION BY c_ip ORDER BY time_start, row_id) AS gap,
         lead(row_id, 2) OVER (PARTITION BY c_ip ORDER BY time_start, row_id) AS after_next FROM flows""",
-    "win_running": "SELECT row_id, sum(coalesce(s_bytes, 0)) OVER (PARTITION BY c_ip ORDER BY time_start, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS so_far, max(s_bytes) OVER (PARTITION BY c_ip ORDER BY time_start, row_id ROWS BETWEEN 3 PRECEDING AND 1 FOLLOWING) AS near FROM flows",
+    "win_running": "SELECT row_id, CAST(sum(coalesce(s_bytes, 0)) OVER (PARTITION BY c_ip ORDER BY time_start, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS so_far, max(s_bytes) OVER (PARTITION BY c_ip ORDER BY time_start, row_id ROWS BETWEEN 3 PRECEDING AND 1 FOLLOWING) AS near FROM flows",
     "win_range": "SELECT row_id, count(*) OVER (PARTITION BY c_ip ORDER BY time_start RANGE BETWEEN 600 PRECEDING AND CURRENT ROW) AS lately FROM flows",
     "topk_domains": "SELECT name, count(*) AS n FROM flows WHERE name IS NOT NULL GROUP BY name ORDER BY n DESC, name LIMIT 20",
-    "topk_per_group": "SELECT * FROM (SELECT s_ip, query, n, row_number() OVER (PARTITION BY s_ip ORDER BY n DESC, query) AS r FROM (SELECT s_ip, query, count(*) AS n FROM dns WHERE query IS NOT NULL AND s_ip IS NOT NULL GROUP BY s_ip, query) q) p WHERE r <= 3",
+    "topk_per_group": "SELECT s_ip, query, n, CAST(r AS BIGINT) AS r FROM (SELECT s_ip, query, n, row_number() OVER (PARTITION BY s_ip ORDER BY n DESC, query) AS r FROM (SELECT s_ip, query, count(*) AS n FROM dns WHERE query IS NOT NULL AND s_ip IS NOT NULL GROUP BY s_ip, query) q) p WHERE r <= 3",
     "sort_limit_offset": "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 15 OFFSET 5",
     "set_union": "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier",
     "set_union_distinct": "SELECT c_ip FROM flows UNION SELECT c_ip FROM dns",
@@ -62,9 +62,9 @@ BOTH = {
     "set_intersect_all": "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier",
     "set_except": "SELECT c_ip FROM dns EXCEPT SELECT c_ip FROM flows",
     "set_except_all": "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier",
-    "fn_string": "SELECT s_suppkey, upper(s_name) AS u, length(s_name) AS n, substring(s_name, 3, 4) AS mid, lpad(CAST(s_suppkey AS STRING), 6, '0') AS padded, replace(s_name, '#', '-') AS r, concat_ws('/', s_name, 'x') AS j, trim(concat('  ', s_name, ' ')) AS t, reverse(s_name) AS b FROM supplier",
-    "fn_math": "SELECT s_suppkey, abs(s_acctbal) AS a, ceil(s_acctbal) AS c, floor(s_acctbal) AS f, round(sqrt(abs(s_acctbal)), 6) AS q, round(ln(abs(s_acctbal) + 1), 9) AS l, round(log10(abs(s_acctbal) + 1), 9) AS d, sign(s_acctbal) AS s, mod(s_suppkey, 7) AS m, greatest(s_acctbal, 0) AS g FROM supplier",
-    "fn_date": "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, hour(o_orderdate) AS h, CAST(date_trunc('month', o_orderdate) AS DATE) AS first_day, quarter(o_orderdate) AS q FROM orders",
+    "fn_string": "SELECT s_suppkey, upper(s_name) AS u, CAST(length(s_name) AS BIGINT) AS n, substring(s_name, 3, 4) AS mid, lpad(CAST(s_suppkey AS STRING), 6, '0') AS padded, replace(s_name, '#', '-') AS r, concat_ws('/', s_name, 'x') AS j, trim(concat('  ', s_name, ' ')) AS t, reverse(s_name) AS b FROM supplier",
+    "fn_math": "SELECT s_suppkey, abs(s_acctbal) AS a, CAST(ceil(s_acctbal) AS BIGINT) AS c, CAST(floor(s_acctbal) AS BIGINT) AS f, round(sqrt(abs(s_acctbal)), 6) AS q, round(ln(abs(s_acctbal) + 1), 9) AS l, round(log10(abs(s_acctbal) + 1), 9) AS d, CAST(sign(s_acctbal) AS DOUBLE) AS s, mod(s_suppkey, 7) AS m, greatest(s_acctbal, 0) AS g FROM supplier",
+    "fn_date": "SELECT o_orderkey, CAST(year(o_orderdate) AS BIGINT) AS y, CAST(month(o_orderdate) AS BIGINT) AS m, CAST(day(o_orderdate) AS BIGINT) AS d, CAST(hour(o_orderdate) AS BIGINT) AS h, CAST(date_trunc('month', o_orderdate) AS DATE) AS first_day, CAST(quarter(o_orderdate) AS BIGINT) AS q FROM orders",
     "fn_conditional": "SELECT row_id, CASE WHEN status_code < 300 THEN 'ok' WHEN status_code < 400 THEN 'moved' WHEN status_code IS NULL THEN 'none' ELSE 'bad' END AS kind, coalesce(content_type, server, '?') AS what, nullif(method, 'GET') AS other FROM http",
     "cte_chain": "WITH a AS (SELECT c_ip, count(*) AS n FROM flows GROUP BY c_ip), b AS (SELECT n, count(*) AS clients FROM a GROUP BY n) SELECT n, clients FROM b WHERE clients > 1",
     "cte_recursive_range": "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 60) SELECT n, CAST(n AS BIGINT) * n AS sq FROM t",
