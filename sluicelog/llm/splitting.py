@@ -29,6 +29,7 @@ RANGE, LEFT, RIGHT = 16_384, 4_096, 49_152
 #: Words of more tokens may be cut inside, between tokens and characters.
 LONG_WORD = 16
 
+_WHITE = np.array([c for c in range(0x3001) if chr(c).isspace()], np.uint32)
 _BREAKS = regex.compile(r"\s*\n\s*")
 _SENTENCE = regex.compile(r"""[.!?…]+["'”’)\]]*(?=\s)|[。！？]+[”’」』）]*""")
 
@@ -74,9 +75,8 @@ class Boundaries:
 
 
 def _kinds(text: str, at: np.ndarray) -> np.ndarray:
-    kind = np.zeros(len(at), np.int8)
-    points = at.tolist()
-    kind[[text[p].isspace() or text[p - 1].isspace() for p in points]] = WORD
+    white = np.isin(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), _WHITE)
+    kind = np.where(white[at] | white[at - 1], WORD, INSIDE).astype(np.int8)
     if ends := [m.end() for m in _SENTENCE.finditer(text)]:
         kind[np.isin(at, np.array(ends))] = SENTENCE
     spans = []
