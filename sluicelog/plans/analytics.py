@@ -177,6 +177,13 @@ def density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.dbscan(q, "id", eps=1.2, min_points=4, features=["x", "y"])
 
 
+def density_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all clients of ``flows``, one point each: powers of ten of its flows and of its bytes."""
+    total = F.sum(F.coalesce("c_bytes", F.lit(0)) + F.coalesce("s_bytes", F.lit(0)))
+    clients = _t(spark, sf_dir, "flows").groupBy("c_ip").agg(F.log10(F.count(F.lit(1))).alias("x"), F.log10(1 + total).alias("y"))
+    return clustering.dbscan(clients, "c_ip", eps=0.05, min_points=4, features=["x", "y"])
+
+
 def feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = _t(spark, sf_dir, "http")
     out = features.transform(h, "SELECT row_id, method, response_body_len FROM records", ["response_body_len"], ["method"])
@@ -203,7 +210,7 @@ def cluster_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NAMES = """
     traffic_per_domain contacted_resolvers name_service_form name_site address_kinds address_networks http_url_parts series_tumbling service_bags service_rules service_flows service_report
     page_windows page_bags page_visits page_model page_report resolver_domains resolver_normality resolver_anomalies resolver_norms resolver_networks resolver_suspicious resolver_summary
-    resolver_report resolver_verified univariate_gaussian univariate_boxplot seasonal_outliers density_clusters feature_vectors cluster_kmeans cluster_bisecting cluster_mixture"""
+    resolver_report resolver_verified univariate_gaussian univariate_boxplot seasonal_outliers density_clusters density_clients feature_vectors cluster_kmeans cluster_bisecting cluster_mixture"""
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: globals()[name] for name in _NAMES.split()}
 
 _V4 = r"regexp_full_match({x}, '(0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9]))(\.0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){{3}}')"

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sluicelog.functions import ip, misc, names
 from sluicelog.operators import anomaly, attribution, clustering, features, pageload, resolvers, windows
+from sluicelog.plans import analytics
 
 CORES = ["aa.it", "bb.it"]
 ORDER = ("time_start", "row_id")
@@ -247,6 +248,14 @@ def test_dbscan(spark, seed, eps, least):
     assert got == brute_dbscan(points, eps, least)
 
 
+def test_density_clients(spark, sf_dir):
+    sf_dir = sf_dir.replace("sf0.001", "sf0.01")
+    rows = analytics.density_clients(spark, sf_dir).collect()
+    assert len(rows) == spark.read.parquet(f"{sf_dir}/flows.parquet").select("c_ip").distinct().count() > 200
+    got = {r.c_ip: r.prediction for r in rows}
+    assert got == brute_dbscan({r.c_ip: (r.x, r.y) for r in rows}, 0.05, 4) and max(got.values()) > 0 and min(got.values()) == -1
+
+
 def test_dbscan_long_chain(spark):
     df = spark.range(300).select("id", F.array((F.col("id") * 0.9).cast("double")).alias("features"))
     rows = clustering.dbscan(df, "id", 1.0, 2).collect()
