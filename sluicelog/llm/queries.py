@@ -20,10 +20,19 @@ def _day(seconds: Column) -> Column:
     return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(fair / 86400).cast("int"))
 
 
+def _pairs(spark: SparkSession, sf_dir: str, min_count: int) -> DataFrame:
+    flows = _table(spark, sf_dir, "flows")
+    return cooccurrence.pair_counts(flows, [F.col("c_ip"), _day(F.col("time_start"))], plain_form(F.col("name")), min_count)
+
+
+def p1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of plain names in any client-day together, with counts and lift."""
+    return _pairs(spark, sf_dir, 1)
+
+
 def p1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of plain names in at least 20 client-days together, with counts and lift."""
-    flows = _table(spark, sf_dir, "flows")
-    return cooccurrence.pair_counts(flows, [F.col("c_ip"), _day(F.col("time_start"))], plain_form(F.col("name")), 20)
+    return _pairs(spark, sf_dir, 20)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +104,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_pairs": p1_pairs, "p4_found": p4_found, "p4_counts": p4_counts, "p6_found": p6_found, "p6_percentiles": p6_percentiles,
+    "p1_found": p1_found, "p1_pairs": p1_pairs, "p1_counts": p1_counts, "p4_found": p4_found, "p4_counts": p4_counts, "p6_found": p6_found, "p6_percentiles": p6_percentiles,
     "p8_ids": p8_ids, "p9_found": p9_found, "p9_containers": p9_containers, "p10_found": p10_found, "p10_pieces": p10_pieces,
 }
 
@@ -109,6 +118,7 @@ _TTLS = f"""WITH t AS (SELECT query, ttl FROM (SELECT {plain_form_sql('"query"')
 
 SQL = {
     "p1_pairs": f"{_BASKETS} SELECT * FROM q",
+    "p1_counts": f"{_BASKETS.replace(' HAVING count(*) >= 20', '')} SELECT * FROM q",
     "p1_found": f"{_BASKETS} SELECT name_a, name_b FROM q WHERE n_ab * n_baskets >= 8 * n_a * n_b",
     "p4_found": f"""WITH r AS (SELECT strftime(make_timestamp(CAST(floor(req_time) AS BIGINT) * 1000000), '%Y-%m-%d') AS day_utc, s_ip, c_ip, {plain_form_sql('"query"')} AS q
             FROM dns WHERE s_ip IS NOT NULL AND req_time IS NOT NULL),

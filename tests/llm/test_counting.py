@@ -18,6 +18,11 @@ def test_sql(spark, sf_dir, name):
     same(llm_queries.QUERIES[name](spark, sf_dir), llm_queries.SQL[name], sf_dir)
 
 
+def test_all_pairs(spark, sf_dir):
+    counts = llm_queries.p1_counts(spark, sf_dir).select("n_ab").collect()
+    assert min(r.n_ab for r in counts) == 1 and sum(r.n_ab < 20 for r in counts) > len(counts) / 2
+
+
 @pytest.mark.parametrize("block_rows,products", [(7, 5), (100, 64), (10**6, 10**6)])
 def test_pairs(spark, monkeypatch, block_rows, products):
     rng = random.Random(block_rows)
