@@ -4,11 +4,12 @@ A text is read in ranges of ``RANGE`` characters with halos at either side, each
 on its own: a worker finds the first certain word boundary after its range's
 start, cuts words from there and notes where they begin, how good a place to
 cut that is, and how many tokens lie before it within the range. Summing the
-ranges' tokens places these notes in the whole text. Token windows at a fixed
-stride then each choose their best boundary as a cut, and another one 32 to 64
-tokens before it as the start of the next piece; no choice depends on another,
-so a text of any length is cut in parallel. Pieces are emitted by offset from
-the range they begin in. A text within one range takes the same steps in one.
+ranges' tokens places these notes in the whole text. One pass over a text's
+notes, range after range, then chooses the best boundary in a piece's reach as
+its cut, and another one 32 to 64 tokens before it as the start of the next
+piece; it holds the notes of a few ranges at a time. Pieces are emitted by
+offset from the range they begin in. A text within one range takes the same
+steps in one.
 """
 
 from collections.abc import Iterator
@@ -43,13 +44,18 @@ class Limits:
     most_shared: int = 64
 
     @property
-    def stride(self) -> int:
-        """Tokens from one window's end to the next's."""
-        return self.most - self.most_shared - self.slack - self.window
+    def reach(self) -> int:
+        """Most tokens from a piece's start to its cut."""
+        return self.most - self.slack
+
+    @property
+    def least(self) -> int:
+        """Tokens from a piece's start beyond which it may be cut."""
+        return max(self.most // 4, 2 * self.most_shared)
 
     @property
     def window(self) -> int:
-        """Tokens within which a cut may be chosen."""
+        """Tokens within which a piece that is too long after all may be halved."""
         return self.most // 6
 
     @property
@@ -57,12 +63,6 @@ class Limits:
         """Tokens kept free, since a piece's ends may take another token when it is encoded alone."""
         return self.most // 64
 
-    def cuts(self, total: int) -> int:
-        """Number of cuts of a text of ``total`` tokens."""
-        if total <= self.most:
-            return 0
-        return max(1, -(-(total - self.most + self.slack + self.window + self.most_shared) // self.stride))
-
 
 @dataclass
 class Boundaries:
@@ -123,18 +123,19 @@ def _best(b: Boundaries, low: int, high: int) -> int | None:
     return int(j - 1 - np.argmax(kinds[::-1]))
 
 
-def choose(b: Boundaries, base: int, first: int, last: int, limits: Limits) -> list[tuple[int, int, int, int, int]]:
-    """(window, kind, tokens before, cut, next start) of the best cut of each window from ``first`` to ``last``; start -1 if there is none here."""
+def choose(b: Boundaries, start: int, upto: int, limits: Limits) -> tuple[list[tuple[int, int]], int]:
+    """(cut, next start) of one piece after another from ``start`` tokens on, as long as a piece's reach ends before ``upto`` tokens; tokens before the last start."""
     out = []
     margin = limits.slack // 2
-    for k in range(first, last + 1):
-        high = k * limits.stride - base
-        c = _best(b, high - limits.window, high)
-        if c is not None:
-            here = int(b.before[c])
-            s = _best(b, here - limits.most_shared + margin - 1, here - limits.least_shared - margin)
-            out.append((k, int(b.kind[c]), here + base, int(b.at[c]), -1 if s is None else int(b.at[s])))
-    return out
+    while start + limits.reach < upto:
+        c = _best(b, start + limits.least, start + limits.reach)
+        here = 0 if c is None else int(b.before[c])
+        s = None if c is None else _best(b, here - limits.most_shared + margin - 1, here - limits.least_shared - margin)
+        if c is None or s is None:
+            raise ValueError("a text can't be cut to the limit between characters")
+        out.append((int(b.at[c]), int(b.at[s])))
+        start = int(b.before[s])
+    return out, start
 
 
 def _pieces(length: int, cuts: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -210,7 +211,7 @@ def _read_ranges(shared, limits: Limits, size: int, left: int):
                 yield k, [(0, 0, len(t or ""), total, t, *none)]
                 continue
             b = boundaries(t, w, encoder, lengths)
-            cuts = [(c, s) for _, _, _, c, s in choose(b, 0, 1, limits.cuts(total), limits)]
+            cuts, _ = choose(b, 0, total, limits)
             spans = [(i, s, e) for i, (s, e) in enumerate(_pieces(len(t), cuts))]
             done = _emit(t, 0, spans, encoder, lengths, limits)
             yield k, [(i, s, e, n, part, *none) for i, (_, s, e, n, part) in enumerate(done)]
@@ -264,26 +265,30 @@ def _notes(text: str, r: int, size: int, left: int, encoder: Encoder, lengths: n
 
 
 def _choose_cuts(limits: Limits):
-    """Notes with ``base`` and ``total`` in; the candidate of each window in the range out."""
+    """Notes with ``base`` in, a text's ranges in order; its cuts out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, start, k = None, None, 0, 0
         for batch in batches:
             rows, take = [], []
-            for i, (base, total, owned, at, before, tags) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3, 9)), strict=True)):
-                b = Boundaries(np.frombuffer(at, np.int64), np.frombuffer(before, np.int64), np.frombuffer(tags, np.int8), owned)
-                own = b.before >= 0
-                low, last = base // limits.stride, limits.cuts(total)
-                first, high = max(1, low), min(last, (base + owned + limits.window) // limits.stride + 1)
-                mine = Boundaries(b.at[own], b.before[own], b.kind[own], owned)
-                margin = limits.slack // 2
-                for k, kind, here, cut, _ in choose(mine, base, first, high, limits):
-                    rel = here - base
-                    s = _best(b, rel - limits.most_shared + margin - 1, rel - limits.least_shared - margin)
-                    rows.append((k, kind, here, cut, -1 if s is None else int(b.at[s])))
-                    take.append(i)
+            for i, (*key, base, owned, at, before, tags) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(8)), strict=True)):
+                if key != now:
+                    now, held, start, k = key, None, 0, 0
+                before = np.frombuffer(before, np.int64)
+                # what lies before the owned part is noted by the range before
+                own = before >= 0
+                notes = [np.frombuffer(at, np.int64)[own], before[own] + base, np.frombuffer(tags, np.int8)[own]]
+                if held is not None:
+                    rest = held.before > start
+                    notes = [np.concatenate((x[rest], y)) for x, y in zip((held.at, held.before, held.kind), notes, strict=True)]
+                held = Boundaries(*notes, base + owned)
+                cuts, start = choose(held, start, held.total, limits)
+                rows += [(k + n, *x) for n, x in enumerate(cuts, 1)]
+                k += len(cuts)
+                take += [i] * len(cuts)
             keys = [batch.column(c).take(pa.array(take, pa.int64())) for c in range(3)]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([*keys, *[pa.array(c, pa.int64()) for c in columns]], ["id", "hash", "length", "k", "kind", "here", "cut", "next"])
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([*keys, *[pa.array(c, pa.int64()) for c in columns]], ["id", "hash", "length", "k", "cut", "next"])
 
     return run
 
@@ -331,8 +336,9 @@ def split(
 
     A text within the limit is its only piece, as are empty and NULL texts with
     0 tokens; a longer one has pieces of at most ``limits.most`` tokens, counted
-    on the piece alone, that begin and end at the best break near (paragraph,
-    line, sentence, word; inside a word only where it is very long) and share
+    on the piece alone, that end at the best break from a quarter of the limit on
+    (paragraph, line, sentence, word; inside a word only where it is very long),
+    the last of its kind, begin at the best one near, and share
     ``least_shared`` to ``most_shared`` tokens with the next. Offsets count
     characters from 0, ``end`` is exclusive. Repeated rows are split as often as
     they occur; NULL ids stay. A text whose ranges find no hold (no white space
@@ -353,11 +359,11 @@ def split(
     by_range = Window.partitionBy(*key).orderBy("range_no")
     placed = sums.select(
         *key, "range_no", (F.sum(F.col("owned").cast("long")).over(by_range.rowsBetween(Window.unboundedPreceding, 0)) - F.col("owned")).alias("base"),
-        F.sum(F.col("owned").cast("long")).over(Window.partitionBy(*key)).alias("total"), F.min("owned").over(Window.partitionBy(*key)).alias("held"),
+        F.min("owned").over(Window.partitionBy(*key)).alias("held"),
     )
-    known = notes.alias("n").join(placed.where("held >= 0").alias("p"), same("n", "p", "range_no")).select(*[f"n.{c}" for c in key], "p.base", "p.total", "n.owned", "n.at", "n.before", "n.tags")
-    found = known.mapInArrow(_choose_cuts(limits), f"id {kind}, hash long, length int, k long, kind long, here long, cut long, next long")
-    cuts = found.groupBy(*key, "k").agg(F.max(F.struct("kind", "here", "cut", "next")).alias("c")).select(*key, "k", "c.cut", "c.next")
+    known = notes.alias("n").join(placed.where("held >= 0").alias("p"), same("n", "p", "range_no")).select(*[f"n.{c}" for c in key], "n.range_no", "p.base", "n.owned", "n.at", "n.before", "n.tags")
+    ordered = known.repartition(*key).sortWithinPartitions(*key, "range_no").drop("range_no")
+    cuts = ordered.mapInArrow(_choose_cuts(limits), f"id {kind}, hash long, length int, k long, cut long, next long")
     # the first piece begins at 0; each cut ends the piece before it
     begin = placed.where("range_no = 0 AND held >= 0").select(*key, F.lit(0).cast("long").alias("k"), F.lit(-1).cast("long").alias("cut"), F.lit(0).cast("long").alias("next"))
     spans = cuts.unionByName(begin).select(

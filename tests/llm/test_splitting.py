@@ -89,6 +89,17 @@ def test_natural_breaks(spark):
     assert all(text[: r.end].endswith("\n\n") for r in rows[:-1])
 
 
+@pytest.mark.parametrize("end", [". ", "\n"])
+@pytest.mark.parametrize("size", [splitting.RANGE, 3_000])
+def test_rare_breaks(spark, end, size):
+    rng = random.Random(11)
+    text = "".join(" ".join(rng.choice(["probe", "sends", "the", "rows"]) for _ in range(rng.randint(100, 300))) + end for _ in range(60))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    rows = sorted(splitting.split(df, "doc_id", "text", size=size).collect(), key=lambda r: r.piece_no)
+    check({1: text}, rows)
+    assert all(text[: r.end].rstrip(" ").endswith(end.strip(" ")) for r in rows[:-1])
+
+
 def test_empty(spark):
     assert splitting.split(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text").count() == 0
     assert splitting.split(spark.createDataFrame([("a", None)], "k string, text string").withColumn("x", F.lit(1)), "k", "text").first().n_tokens == 0
