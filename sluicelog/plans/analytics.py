@@ -153,10 +153,22 @@ def resolver_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _study(spark, sf_dir).report()
 
 
+def _known_domains(spark: SparkSession, sf_dir: str, s: resolvers.Study) -> DataFrame:
+    """What the whole of ``dns`` tells of each domain: ``asns`` that at least two resolvers answered with, and ``aliases`` in the answers.
+
+    The tables' content networks have invented names with a label ``edge-...``, which stands for ``edgekey``.
+    """
+    asns = s.domains.where("feature = 'asn'").groupBy("fqdn", "value").agg(F.countDistinct("resolver").alias("n")).groupBy("fqdn").agg(F.collect_list(F.when(F.col("n") >= 2, F.col("value"))).alias("asns"))
+    answers = _t(spark, sf_dir, "dns").select(F.lower("query").alias("fqdn"), F.explode("answers").alias("x")).where("fqdn IS NOT NULL AND x IS NOT NULL")
+    named = answers.where(~ip.is_ip(F.col("x"))).withColumn("x", F.regexp_replace(F.lower("x"), r"(^|\.)edge-[^.]*", "$1edgekey"))
+    aliases = named.groupBy("fqdn").agg(F.collect_set("x").alias("aliases"))
+    none = F.array().cast("array<string>")
+    return asns.join(aliases, "fqdn", "full").select(F.col("fqdn").alias("domain"), F.coalesce("asns", none).alias("asns"), F.coalesce("aliases", none).alias("aliases"))
+
+
 def resolver_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _study(spark, sf_dir)
-    known = s.suspicious.select(F.col("fqdn").alias("domain"), F.array("asn").alias("asns"), F.array(F.col("fqdn")).alias("aliases")).distinct().limit(1)
-    return resolvers.verify(s.report(), known)
+    return resolvers.verify(s.report(), _known_domains(spark, sf_dir, s))
 
 
 def univariate_gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:

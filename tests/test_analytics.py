@@ -186,6 +186,23 @@ def test_suspicious_resolver(spark):
     assert hints["rogue"] == "Verified." and hints["r1"] == ""
 
 
+def test_verified_resolvers(spark, tmp_path):
+    alias = {d: f"e{d}.edge-x.example" if d < 12 else f"e{d}.plain.example" for d in range(24)}
+    rows = [("c", "tiny", f"w.other{i}.it", [f"30.{i}.0.1"], [60]) for i in range(60)]
+    for d in range(24):
+        rows += [("c", f"r{i % 5}", f"w.site{d}.it", [alias[d], f"10.{d}.0.1"], [100 + i % 7]) for i in range(100)]
+        rows += [("c", "r5", f"w.site{d}.it", [alias[d], f"20.{d}.0.1"], [100 + i % 7]) for i in range(12)]
+        if d < 12:
+            rows += [("c", r, f"w.site{d}.it", [alias[d], "66.6.6.6"], [5]) for r in ("both1", "both2") for _ in range(5)]
+            rows += [("c", "edge", f"w.site{d}.it", [alias[d], "77.7.7.7"], [5])] * 5
+        else:
+            rows += [("c", "rogue", f"w.site{d}.it", [alias[d], "88.8.8.8"], [5])] * 5
+    df = spark.createDataFrame(rows, "c_ip string, s_ip string, query string, answers array<string>, answer_ttls array<long>").withColumns({"resp_code": F.lit("NOERROR"), "flags_resp": F.lit(12).cast("long")})
+    df.write.parquet(f"{tmp_path}/dns.parquet")
+    hints = {r.resolver: r.hint for r in analytics.resolver_verified(spark, str(tmp_path)).where("domains != '-'").collect()}
+    assert hints == {"both1": "Verified.", "both2": "Verified.", "edge": "CDN.", "rogue": ""}
+
+
 def test_names_and_addresses(spark):
     df = spark.createDataFrame([(x,) for x in ["d111abc.cloudfront.net", "r3---sn-abc12.googlevideo.com", "a.b.c.x.com", "x-1-y.a1.com", "-", None, "www.bbc.co.uk.", "it", "a..b"]], "n string")
     rows = [tuple(r) for r in df.select(names.service_form(F.col("n")), names.site(F.col("n"))).collect()]
