@@ -1,7 +1,7 @@
 """Splitting texts over a token limit at natural boundaries, with overlap.
 
-A text is read in ranges of ``RANGE`` characters with halos at either side, each
-on its own: a worker finds the first certain word boundary after its range's
+A text is read in ranges of ``RANGE`` characters with halos at either side, one
+after another by the task that holds its row: it finds the first certain word boundary after its range's
 start, cuts words from there and notes where they begin, how good a place to
 cut that is, and how many tokens lie before it within the range. Summing the
 ranges' tokens places these notes in the whole text. One pass over a text's
