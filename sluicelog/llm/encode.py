@@ -159,10 +159,14 @@ class Encoder:
     def words(self, texts: Iterable[str | None]) -> list[list[str]]:
         """The words of each text, with the ids of all of them at hand in ``known``."""
         cut = [[w for part in segments(t) for w in _WORDS.findall(part)] if t else [] for t in texts]
-        new = {w for words in cut for w in words}.difference(self.known)
+        self.ensure(w for words in cut for w in words)
+        return cut
+
+    def ensure(self, words: Iterable[str]) -> None:
+        """Have the ids of these words at hand."""
+        new = set(words).difference(self.known)
         if new:
             self.replay(list(new))
-        return cut
 
     def encode(self, texts: Iterable[str | None]) -> list[list[int]]:
         """Ids of each text; none for an empty or NULL one."""

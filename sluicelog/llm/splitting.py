@@ -1,15 +1,23 @@
-"""Splitting texts over a token limit at natural boundaries, with overlap.
-
-A text is read in ranges of ``RANGE`` characters with halos at either side, one
-after another by the task that holds its row: it finds the first certain word boundary after its range's
-start, cuts words from there and notes where they begin, how good a place to
-cut that is, and how many tokens lie before it within the range. Summing the
-ranges' tokens places these notes in the whole text. One pass over a text's
-notes, range after range, then chooses the best boundary in a piece's reach as
-its cut, and another one 32 to 64 tokens before it as the start of the next
-piece; it holds the notes of a few ranges at a time. Pieces are emitted by
-offset from the range they begin in. A text within one range takes the same
-steps in one.
+"""Splitting texts over a token limit at natural boundaries, with overlap, by byte ranges.
+
+Every text, short or long, is cut into ranges of ``RANGE`` bytes with halos by
+the scan, in the JVM; the ranges are spread over all tasks by text and number.
+A task sees one range at a time: it finds the first certain word boundary at or
+after the range's start, and that of the next range in its halo, cuts the words
+between into tokens and notes where words begin, how good a place to cut each
+is, and how many bytes, characters and tokens lie before it in the range. The
+notes of a text's ranges are stitched in order, their places found by summing
+what the ranges before hold, and the best boundary in a piece's reach is chosen
+as its cut, another one 32 to 64 tokens before it as the next piece's start.
+Pieces are then cut by offset, in the JVM, from the range they begin in.
+
+Counts are exact without encoding a piece again: words do not depend on what
+lies before them; where a text ends after white space only that run changes
+(``adjust``); and a long word cut between two of its tokens gives those tokens,
+since no merge ever crossed that place. Only where a halo holds no certain
+boundary at all, in one word or one run of white space of thousands of bytes, a
+range begins at a seam inside it. A piece ends at the seam, the next one
+begins before it and is kept to half the limit; it is counted again.
 """
 
 from collections.abc import Iterator
@@ -18,21 +26,22 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..workdir import materialize
-from .encode import _CUT, _WORDS, TOKENIZER, TOKENIZER_DIR, Encoder, blocks, share, worker_encoder
+from .encode import TOKENIZER, TOKENIZER_DIR, Encoder, share, worker_encoder
 
-PARAGRAPH, LINE, SENTENCE, WORD, INSIDE = 4, 3, 2, 1, 0
-#: Characters of a range, and of its halos to the left and right.
-RANGE, LEFT, RIGHT = 16_384, 4_096, 49_152
+PARAGRAPH, LINE, SENTENCE, WORD, INSIDE, SEAM = 4, 3, 2, 1, 0, -1
+#: Bytes of a range, of its halo in which the next range must find its start, and before its start for the kind of that boundary.
+RANGE, HALO, BEFORE = 65_536, 4_096, 256
 #: Words of more tokens may be cut inside, between tokens and characters.
 LONG_WORD = 16
+#: Bytes of ranges whose words are encoded together.
+BLOCK_BYTES = 4_000_000
 
-_WHITE = np.array([c for c in range(0x3001) if chr(c).isspace()], np.uint32)
-_BREAKS = regex.compile(r"\s*\n\s*")
+_CERTAIN = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])|(?<=[^\s\p{L}\p{N}'])(?=[\p{L}\p{N}])")
 _SENTENCE = regex.compile(r"""[.!?…]+["'”’)\]]*(?=\s)|[。！？]+[”’」』）]*""")
+_WHITE = np.array([chr(c).isspace() for c in range(0x3001)] + [False])
 
 
 @dataclass(frozen=True)
@@ -43,139 +52,200 @@ class Limits:
     least_shared: int = 32
     most_shared: int = 64
 
-    @property
-    def reach(self) -> int:
-        """Most tokens from a piece's start to its cut."""
-        return self.most - self.slack
+    def __post_init__(self):
+        # boundaries are at most 2 * LONG_WORD tokens apart, so with such limits there is always one to cut at
+        if not (self.least_shared >= 2 * LONG_WORD and self.most_shared - self.least_shared >= 2 * LONG_WORD and self.most >= 8 * self.most_shared):
+            raise ValueError(f"limits must leave room for overlaps of {2 * LONG_WORD} tokens or more, {2 * LONG_WORD} to choose from, and eight overlaps a piece")
 
     @property
     def least(self) -> int:
         """Tokens from a piece's start beyond which it may be cut."""
-        return max(self.most // 4, 2 * self.most_shared)
-
-    @property
-    def window(self) -> int:
-        """Tokens within which a piece that is too long after all may be halved."""
-        return self.most // 6
+        return self.most // 4
 
-    @property
-    def slack(self) -> int:
-        """Tokens kept free, since a piece's ends may take another token when it is encoded alone."""
-        return self.most // 64
-
-
-@dataclass
-class Boundaries:
-    """Places in a text before which it may be cut: offset, tokens before it, kind; and the tokens in all."""
 
-    at: np.ndarray
-    before: np.ndarray
-    kind: np.ndarray
-    total: int
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _kinds(text: str, at: np.ndarray) -> np.ndarray:
-    white = np.isin(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), _WHITE)
+def _kinds(text: str, white: np.ndarray, newline: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The kind of each boundary ``at`` > 0 characters."""
     kind = np.where(white[at] | white[at - 1], WORD, INSIDE).astype(np.int8)
     if ends := [m.end() for m in _SENTENCE.finditer(text)]:
-        kind[np.isin(at, np.array(ends))] = SENTENCE
-    spans = []
-    for m in _BREAKS.finditer(text):
-        first = text.index("\n", m.start()) + 1
-        second = text.find("\n", first, m.end()) + 1
-        spans.append((first, second or m.end() + 1, m.end()))
-    if spans:
-        first, second, end = (np.array(x) for x in zip(*spans, strict=True))
-        i = np.maximum(np.searchsorted(first, at, side="right") - 1, 0)
-        after = (at >= first[i]) & (at <= end[i])
-        kind[after] = LINE
-        kind[after & (at >= second[i])] = PARAGRAPH
+        mark = np.zeros(len(text) + 1, bool)
+        mark[ends] = True
+        kind[mark[at]] = SENTENCE
+    # newlines in the run of white space that ends at the boundary
+    lines = np.concatenate(([0], np.cumsum(newline)))
+    run = np.maximum.accumulate(np.concatenate(([0], np.where(white, 0, np.arange(1, len(white) + 1)))))
+    passed = lines[at] - lines[run[at]]
+    kind[passed == 1] = LINE
+    kind[passed >= 2] = PARAGRAPH
     return kind
 
 
-def boundaries(text: str, words: list[str], encoder: Encoder, byte_lengths: np.ndarray) -> Boundaries:
-    """All boundaries inside ``text``, whose words these are."""
-    known = encoder.known
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
+@dataclass
+class Part:
+    """The words that a range owns: where they begin, whether at a seam, their text, and what stands before it."""
+
+    begin: int
+    seam: bool
+    text: str
+    before: str
+
+
+def _start(data: bytes, offset: int, at: int, length: int, halo: int) -> tuple[int, bool]:
+    """Where the words of the range from byte ``at`` begin, and whether that is a seam; ``data`` holds the text from ``offset`` on."""
+    if at <= 0 or at >= length:
+        return max(0, min(at, length)), False
+    i = at - offset
+    while i < len(data) and data[i] & 0xC0 == 0x80:
+        i += 1
+    j = i - 1
+    while j > 0 and data[j] & 0xC0 == 0x80:
+        j -= 1
+    window = data[j : i + halo].decode("utf-8", "ignore")
+    found = _CERTAIN.search(window, 1)
+    if found:
+        return offset + j + len(window[: found.start()].encode()), False
+    return (length, False) if at + halo >= length else (offset + i, True)
+
+
+def owned(data: bytes | None, r: int, length: int, size: int, halo: int) -> Part:
+    """What range ``r`` owns: from its own start to that of the next range."""
+    if not data:
+        return Part(0, False, "", "")
+    offset = max(0, r * size - BEFORE)
+    begin, seam = _start(data, offset, r * size, length, halo)
+    end, _ = _start(data, offset, (r + 1) * size, length, halo)
+    return Part(begin, seam, data[begin - offset : end - offset].decode(), data[max(0, begin - offset - BEFORE) : begin - offset].decode("utf-8", "ignore"))
+
+
+def boundaries(part: Part, words: list[str], encoder: Encoder, byte_lengths: np.ndarray) -> tuple[np.ndarray, int]:
+    """Rows of bytes, characters and tokens before each boundary of the part, its kind and adjustment; and the tokens in all."""
+    known, text = encoder.known, part.text
     tokens = np.fromiter((len(known[w]) for w in words), np.int64, len(words))
-    ends, upto = np.cumsum(lengths), np.cumsum(tokens)
+    chars = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    upto = np.cumsum(tokens)
     total = int(upto[-1]) if len(words) else 0
-    at, before = ends[:-1], upto[:-1]
-    kind = _kinds(text, at) if len(at) else np.zeros(0, np.int8)
+    data = np.frombuffer(text.encode(), np.uint8)
+    byte_at = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+    at, before = chars[:-1], upto[:-1]
+    code = _codes(text)
+    white, newline = _WHITE[np.minimum(code, 0x3001)], code == 10
+    adjust = np.zeros(len(at), np.int8)
+    dropped = np.zeros(len(at), bool)
+    if len(at):
+        # a text that ends after a run of white space has one word of it, not two
+        ends_white = white[at - 1]
+        both = np.flatnonzero(ends_white[1:] & ends_white[:-1]) + 1
+        runs = [words[i - 1] + words[i] for i in both.tolist()]
+        encoder.ensure(runs)
+        for i, run in zip(both.tolist(), runs, strict=True):
+            adjust[i] = np.clip(len(known[run]) - tokens[i - 1] - tokens[i], -100, 100)
+            dropped[i] = tokens[i - 1] > LONG_WORD
+    extra = []
     for i in np.flatnonzero(tokens > LONG_WORD).tolist():
-        data = words[i].encode("utf-8", "surrogatepass")
-        cut = np.cumsum(byte_lengths[known[words[i]]])[:-1]
-        starts = (np.frombuffer(data, np.uint8) & 0xC0) != 0x80
-        whole = starts[cut]
-        at = np.concatenate((at, (ends[i] - lengths[i]) + np.cumsum(starts)[cut[whole] - 1]))
-        before = np.concatenate((before, upto[i] - tokens[i] + 1 + np.flatnonzero(whole)))
-        kind = np.concatenate((kind, np.zeros(int(whole.sum()), np.int8)))
-    order = np.argsort(at, kind="stable")
-    return Boundaries(at[order], before[order], kind[order], total)
-
-
-def _best(b: Boundaries, low: int, high: int) -> int | None:
-    """The best boundary with low < tokens before <= high: of the best kind the last."""
-    i, j = np.searchsorted(b.before, (low, high), side="right")
-    if i >= j:
+        word = words[i]
+        cut = np.cumsum(byte_lengths[known[word]])[:-1]
+        first = byte_at[chars[i] - len(word)]
+        place = np.searchsorted(byte_at, first + cut)
+        whole = byte_at[place] == first + cut
+        # a lone space before a cut would join the white space before it, a last apostrophe the letters after it
+        whole &= ~((cut == 1) & (word[0] == " ") & (word[-1] != " ")) & ~((place == chars[i] - 1) & (word[-1] == "'"))
+        extra.append((place[whole], upto[i] - tokens[i] + 1 + np.flatnonzero(whole)))
+    kind = _kinds(text, white, newline, at)
+    if dropped.any():
+        at, before, kind, adjust = (x[~dropped] for x in (at, before, kind, adjust))
+    if extra:
+        places, counts = (np.concatenate(x) for x in zip(*extra, strict=True))
+        at, before = np.concatenate((at, places)), np.concatenate((before, counts))
+        kind, adjust = np.concatenate((kind, np.zeros(len(places), np.int8))), np.concatenate((adjust, np.zeros(len(places), np.int8)))
+        order = np.argsort(at, kind="stable")
+        at, before, kind, adjust = at[order], before[order], kind[order], adjust[order]
+    if part.begin and words:
+        own = SEAM
+        if not part.seam:
+            around = part.before + text[0]
+            spot = np.array([len(part.before)])
+            codes = _codes(around)
+            own = int(_kinds(around, _WHITE[np.minimum(codes, 0x3001)], codes == 10, spot)[0])
+        at, before = np.concatenate(([0], at)), np.concatenate(([0], before))
+        kind, adjust = np.concatenate(([own], kind)), np.concatenate(([0], adjust))
+    return np.stack((byte_at[at], at, before, kind, adjust)).astype(np.int64), total
+
+
+def pack_notes(notes: np.ndarray) -> bytes:
+    """Places as steps of two bytes, kind and adjustment of one: what follows is at most a range away."""
+    steps = np.diff(notes[:3], axis=1, prepend=0)
+    return steps.astype(np.uint16).tobytes() + notes[3:].astype(np.int8).tobytes()
+
+
+def unpack_notes(data: bytes) -> np.ndarray:
+    """The notes that were packed."""
+    n = len(data) // 8
+    places = np.frombuffer(data, np.uint16, 3 * n).reshape(3, n).astype(np.int64)
+    return np.concatenate((np.cumsum(places, axis=1), np.frombuffer(data, np.int8, 2 * n, 6 * n).reshape(2, n).astype(np.int64)))
+
+
+def _best(b: np.ndarray, start: int, low: int, high: int, most: int) -> int | None:
+    """Of the boundaries with ``low`` < tokens before <= ``high`` that leave at most ``most`` from ``start``, the last of the best kind."""
+    i, j = np.searchsorted(b[2], (low, high), side="right")
+    fits = np.flatnonzero(b[2, i:j] + b[4, i:j] - start <= most)
+    if not len(fits):
         return None
-    kinds = b.kind[i:j]
-    return int(j - 1 - np.argmax(kinds[::-1]))
-
-
-def choose(b: Boundaries, start: int, upto: int, limits: Limits) -> tuple[list[tuple[int, int]], int]:
-    """(cut, next start) of one piece after another from ``start`` tokens on, as long as a piece's reach ends before ``upto`` tokens; tokens before the last start."""
-    out = []
-    margin = limits.slack // 2
-    while start + limits.reach < upto:
-        c = _best(b, start + limits.least, start + limits.reach)
-        here = 0 if c is None else int(b.before[c])
-        s = None if c is None else _best(b, here - limits.most_shared + margin - 1, here - limits.least_shared - margin)
-        if c is None or s is None:
-            raise ValueError("a text can't be cut to the limit between characters")
-        out.append((int(b.at[c]), int(b.at[s])))
-        start = int(b.before[s])
-    return out, start
-
-
-def _pieces(length: int, cuts: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    starts, ends = [0, *(s for _, s in cuts)], [*(c for c, _ in cuts), length]
-    return list(zip(starts, ends, strict=True))
-
-
-def _emit(text: str, offset: int, spans: list[tuple[int, int, int]], encoder: Encoder, byte_lengths: np.ndarray, limits: Limits) -> list[tuple[int, int, int, int, str]]:
-    """(piece, start, end, tokens, text), counted on each piece alone; one that is too long after all is split further."""
-    parts = [text[s - offset : e - offset] for _, s, e in spans]
-    out = []
-    for (no, start, end), part, n in zip(spans, parts, encoder.count(parts), strict=True):
-        if n <= limits.most:
-            out.append((no, start, end, n, part))
-            continue
-        b = boundaries(part, encoder.words([part])[0], encoder, byte_lengths)
-        half = b.total // 2 + limits.most_shared // 2
-        c = _best(b, half - limits.window, half)
-        s = None if c is None else _best(b, int(b.before[c]) - limits.most_shared, int(b.before[c]) - limits.least_shared)
-        if c is None or s is None:
-            raise ValueError("a text can't be cut to the limit between characters")
-        halves = [(no, start, start + int(b.at[c])), (no, start + int(b.at[s]), end)]
-        out += _emit(part, start, halves, encoder, byte_lengths, limits)
-    return out
-
-
-def _sync(text: str, start: int, stop: int) -> int | None:
-    """The first offset in [start, stop) at which a word certainly begins."""
-    m = _CUT.search(text, start, min(stop, len(text)))
-    return m.start() if m else None
-
-
-def _owned_from(text: str, r: int, size: int, left: int) -> int | None:
-    """Where the words of range ``r`` begin: in its first ``left`` characters, or at the text's end if that comes first."""
-    if r == 0:
-        return 0
-    if r * size >= len(text):
-        return len(text)
-    found = _sync(text, r * size, r * size + left)
-    return len(text) if found is None and r * size + left >= len(text) else found
+    kinds = b[3, i:j][fits]
+    return int(i + fits[len(fits) - 1 - np.argmax(kinds[::-1])])
+
+
+class Stitcher:
+    """Pieces of one text from the notes of its ranges, taken in order; holds the notes from the open piece on."""
+
+    def __init__(self, limits: Limits):
+        self.limits = limits
+        self.held = np.zeros((5, 0), np.int64)
+        self.bytes = self.chars = self.tokens = 0
+        #: Bytes, characters and tokens before the open piece.
+        self.start = (0, 0, 0)
+
+    def add(self, begin: int, chars: int, tokens: int, notes: bytes) -> None:
+        """The next range's notes, placed behind what came before."""
+        if notes:
+            new = unpack_notes(notes)
+            new[:3] += np.array([[begin], [self.chars], [self.tokens]])
+            self.held = np.concatenate((self.held[:, self.held[2] > self.start[2]], new), axis=1)
+        self.chars += chars
+        self.tokens += tokens
+
+    def _seam(self) -> int | None:
+        i = np.searchsorted(self.held[2], self.start[2], side="right")
+        seams = np.flatnonzero(self.held[3, i:] == SEAM)
+        return int(i + seams[0]) if len(seams) else None
+
+    def pieces(self, length: int, ended: bool) -> Iterator[tuple[tuple[int, int, int], tuple[int, int], int, bool]]:
+        """(start, end in bytes and characters, tokens, counted exactly) of the pieces that no later range can change."""
+        most, least_shared, most_shared = self.limits.most, self.limits.least_shared, self.limits.most_shared
+        while ended or self.start[2] + most + 4 * LONG_WORD < self.tokens:
+            b, start = self.held, self.start[2]
+            left = self.tokens - start
+            if not b.shape[1] and not ended:
+                return
+            seam = self._seam()
+            if seam is not None and b[2, seam] - start > most:
+                seam = None
+            crosses = seam is not None and b[2, seam] - start <= most_shared
+            if ended and left <= (most if seam is None else most // 2 if crosses else 0):
+                yield self.start, (length, self.chars), left, seam is None
+                return
+            if seam is not None and not crosses:
+                c = seam  # what is left of a seam is counted as if the text ended there
+            elif crosses:
+                c = _best(b, start, int(b[2, seam]) + most_shared, start + most // 2, most)
+            else:
+                c = _best(b, start, start + self.limits.least, start + most + 2 * LONG_WORD, most)
+            end = int(b[2, c] + b[4, c])
+            yield self.start, (int(b[0, c]), int(b[1, c])), end - start, not crosses
+            s = _best(b, start, end - most_shared - 1, end - least_shared, most)
+            self.start = (int(b[0, s]), int(b[1, s]), int(b[2, s]))
 
 
 def _byte_lengths(directory: str, name: str) -> np.ndarray:
@@ -189,150 +259,108 @@ def _byte_lengths(directory: str, name: str) -> np.ndarray:
     return out
 
 
-_OUT = "id {kind}, hash long, length int, piece_no int, start int, end int, n_tokens int, text string, range_no int, owned int, at binary, before binary, tags binary"
-_NAMES = [x.split()[0] for x in _OUT.split(", ")]
-
-
-def _read_ranges(shared, limits: Limits, size: int, left: int):
-    """(id, hash, text) in; finished pieces of texts within one range, notes of the ranges of longer ones out."""
-
-    def rows(texts: list[str | None], encoder: Encoder, lengths: np.ndarray) -> Iterator[tuple[int, list[tuple]]]:
-        words = encoder.words([t if t and len(t) <= size else "" for t in texts])
-        none = (None,) * 5
-        for k, (t, w) in enumerate(zip(texts, words, strict=True)):
-            if t and len(t) > size:
-                for r in range(-(-len(t) // size)):
-                    encoder.trim()
-                    yield k, [(*none, r, *_notes(t, r, size, left, encoder, lengths))]
-                continue
-            known = encoder.known
-            total = sum([len(known[x]) for x in w])
-            if total <= limits.most:
-                yield k, [(0, 0, len(t or ""), total, t, *none)]
-                continue
-            b = boundaries(t, w, encoder, lengths)
-            cuts, _ = choose(b, 0, total, limits)
-            spans = [(i, s, e) for i, (s, e) in enumerate(_pieces(len(t), cuts))]
-            done = _emit(t, 0, spans, encoder, lengths, limits)
-            yield k, [(i, s, e, n, part, *none) for i, (_, s, e, n, part) in enumerate(done)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(shared[0])
-        lengths = shared[1].value
-        kinds = [pa.int32()] * 5 + [pa.string()] + [pa.int32()] * 2 + [pa.binary()] * 3
-        for batch in batches:
-            ids, hashes, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
-            take, out = [], []
-
-            def flush(take: list[int], out: list[tuple], ids: pa.Array = ids, hashes: pa.Array = hashes) -> pa.RecordBatch:
-                at = pa.array(take)
-                return pa.RecordBatch.from_arrays([ids.take(at), hashes.take(at), *[pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]], _NAMES)
-
-            for i, j in blocks(texts, 2_000_000):
-                encoder.trim()
-                long = [None if t and len(t) > size else t for t in texts[i:j]]
-                # texts within one range share a replay; longer ones come range by range
-                for part, first in ((long, i), *(([t], i + n) for n, t in enumerate(texts[i:j]) if t and len(t) > size)):
-                    for k, got in rows(part, encoder, lengths):
-                        if first == i and part is long and long[k] is None and texts[i + k]:
-                            continue
-                        take += [first + k] * len(got)
-                        out += [(len(texts[first + k] or ""), *x) for x in got]
-                        if len(out) >= 500:
-                            yield flush(take, out)
-                            take, out = [], []
-            if out:
-                yield flush(take, out)
-
-    return run
+_KEY = ["doc", "hash", "length", "range_no"]
 
 
-def _notes(text: str, r: int, size: int, left: int, encoder: Encoder, lengths: np.ndarray) -> tuple:
-    """Tokens owned by range ``r`` and its boundaries (offset in the text, tokens before relative to the owned ones, kind); owned -1 if it finds no hold."""
-    begin, end = _owned_from(text, r, size, left), _owned_from(text, r + 1, size, left)
-    scan = 0 if r * size <= left else _sync(text, r * size - left, r * size)
-    if begin is None or end is None or scan is None:
-        return -1, None, None, None
-    part = text[scan:end]
-    b = boundaries(part, encoder.words([part])[0], encoder, lengths)
-    at = b.at + scan
-    owned_from = 0 if begin == scan else b.total if begin >= end else int(b.before[np.searchsorted(at, begin)])
-    if scan:  # what lies at the scan's start is a boundary too
-        at, before, kind = np.concatenate(([scan], at)), np.concatenate(([0], b.before)), np.concatenate(([INSIDE], b.kind))
-    else:
-        before, kind = b.before, b.kind
-    return b.total - owned_from, at.astype(np.int64).tobytes(), (before - owned_from).astype(np.int64).tobytes(), kind.astype(np.int8).tobytes()
+def ranges(df: DataFrame, id: str, text: str, size: int, right: int) -> DataFrame:
+    """``id, doc, hash, length, range_no, slice``: the byte ranges of all texts with halos, cut in the JVM and spread by text and range."""
+    raw = df.select(F.col(id).alias("id"), F.make_valid_utf8(F.col(text)).cast("binary").alias("raw"))
+    keyed = raw.select("id", F.xxhash64("id").alias("doc"), F.xxhash64("raw").alias("hash"), F.coalesce(F.length("raw"), F.lit(0)).alias("length"), "raw")
+    numbers = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("length") / size) - 1, F.lit(0)).cast("int"))
+    at = F.greatest(F.col("range_no").cast("long") * size - BEFORE, F.lit(0))
+    upto = (F.col("range_no").cast("long") + 1) * size + right
+    each = keyed.select("id", "doc", "hash", "length", "raw", F.explode(numbers).alias("range_no"))
+    return each.select("id", *_KEY, F.substring("raw", (at + 1).cast("int"), F.least(upto - at, F.lit(2**31 - 1)).cast("int")).alias("slice")).repartition(*_KEY)
 
 
-def _choose_cuts(limits: Limits):
-    """Notes with ``base`` in, a text's ranges in order; its cuts out."""
+def _reader(shared, limits: Limits, size: int, halo: int):
+    """Ranges in; what each owns and its notes out. A text of one range within the limit needs no notes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, start, k = None, None, 0, 0
+        encoder, byte_lengths = worker_encoder(shared[0]), shared[1].value
         for batch in batches:
-            rows, take = [], []
-            for i, (*key, base, owned, at, before, tags) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(8)), strict=True)):
-                if key != now:
-                    now, held, start, k = key, None, 0, 0
-                before = np.frombuffer(before, np.int64)
-                # what lies before the owned part is noted by the range before
-                own = before >= 0
-                notes = [np.frombuffer(at, np.int64)[own], before[own] + base, np.frombuffer(tags, np.int8)[own]]
-                if held is not None:
-                    rest = held.before > start
-                    notes = [np.concatenate((x[rest], y)) for x, y in zip((held.at, held.before, held.kind), notes, strict=True)]
-                held = Boundaries(*notes, base + owned)
-                cuts, start = choose(held, start, held.total, limits)
-                rows += [(k + n, *x) for n, x in enumerate(cuts, 1)]
-                k += len(cuts)
-                take += [i] * len(cuts)
-            keys = [batch.column(c).take(pa.array(take, pa.int64())) for c in range(3)]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
-            yield pa.RecordBatch.from_arrays([*keys, *[pa.array(c, pa.int64()) for c in columns]], ["id", "hash", "length", "k", "cut", "next"])
+            lengths, numbers, slices = (batch.column(batch.schema.get_field_index(c)) for c in ("length", "range_no", "slice"))
+            keys = [batch.column(batch.schema.get_field_index(c)) for c in _KEY]
+            i = 0
+            while i < batch.num_rows:
+                parts, n = [], 0
+                j = i
+                while j < batch.num_rows and n < BLOCK_BYTES:
+                    part = owned(slices[j].as_py(), numbers[j].as_py(), lengths[j].as_py(), size, halo)
+                    parts.append(part)
+                    n += len(part.text)
+                    j += 1
+                encoder.trim()
+                rows = []
+                for part, words, length in zip(parts, encoder.words([p.text for p in parts]), lengths.slice(i, j - i).to_pylist(), strict=True):
+                    known = encoder.known
+                    if length <= size and (total := sum([len(known[w]) for w in words])) <= limits.most:
+                        rows.append((0, len(part.text), total, b""))
+                        continue
+                    notes, total = boundaries(part, words, encoder, byte_lengths)
+                    rows.append((part.begin, len(part.text), total, pack_notes(notes)))
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*[k.slice(i, j - i) for k in keys], *columns], [*_KEY, "begin", "chars", "tokens", "notes"])
+                i = j
 
     return run
 
 
-def _slices(size: int, right: int):
-    """(id, hash, text) in; the ranges with their right halo out."""
+_SPAN = [("start_byte", pa.int64()), ("end_byte", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("n_tokens", pa.int64()), ("exact", pa.bool_())]
+
+
+def _stitcher(limits: Limits, size: int):
+    """Notes of one text after another in, ranges in order; its pieces out, each with the range it begins in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last, text, piece_no = None, -1, Stitcher(limits), 0
         for batch in batches:
-            for i in range(batch.num_rows):
-                text = batch.column(2)[i].as_py()
-                n = -(-len(text) // size)
-                for a in range(0, n, 64):
-                    take = pa.array([i] * (min(n, a + 64) - a))
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(take), batch.column(1).take(take), pa.array([len(text)] * len(take), pa.int32()), pa.array(range(a, a + len(take)), pa.int32()), pa.array([text[r * size : (r + 1) * size + right] for r in range(a, a + len(take))])],
-                        ["id", "hash", "length", "range_no", "slice"],
-                    )
+            rows = []
+            for doc, hash, length, range_no, begin, chars, tokens, notes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (doc, hash, length) != now:
+                    now, last, text, piece_no = (doc, hash, length), -1, Stitcher(limits), 0
+                if range_no == last:  # a row stored twice has each range twice, all alike
+                    continue
+                last = range_no
+                ended = (range_no + 1) * size >= length
+                if ended and not range_no and not notes:
+                    rows.append((*now, 0, 0, 0, length, 0, chars, tokens, True))
+                    continue
+                text.add(begin, chars, tokens, notes)
+                for start, end, n, exact in text.pieces(length, ended):
+                    rows.append((*now, start[0] // size, piece_no, start[0], end[0], start[1], end[1], n, exact))
+                    piece_no += 1
+            if rows:
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[t for _, t in _SPAN]]
+                names = [*_KEY, "piece_no", *[n for n, _ in _SPAN]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return run
 
 
-def _emit_slices(shared, limits: Limits, size: int):
+def _recount(shared):
+    """Pieces in and out; those over a seam are counted again."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, lengths = worker_encoder(shared[0]), shared[1].value
         for batch in batches:
-            take, out = [], []
-            for i, (r, text, spans) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True)):
-                found = _emit(text, r * size, [(x["piece_no"], x["start"], x["end"]) for x in spans], encoder, lengths, limits)
-                take += [i] * len(found)
-                out += found
-            columns = list(zip(*out, strict=True)) if out else [[]] * 5
-            kinds = [pa.int32()] * 4 + [pa.string()]
-            at = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], ["id", "hash", "piece_no", "start", "end", "n_tokens", "text"])
+            exact = batch.column("exact")
+            if exact.false_count:
+                encoder = worker_encoder(shared[0])
+                encoder.trim()
+                where = np.flatnonzero(~exact.to_numpy(zero_copy_only=False))
+                counts = batch.column("n_tokens").to_numpy().copy()
+                counts[where] = encoder.count(batch.column("text").take(pa.array(where)).to_pylist())
+                batch = batch.set_column(batch.schema.get_field_index("n_tokens"), "n_tokens", pa.array(counts, pa.int64()))
+            yield batch.select([c for c in batch.schema.names if c != "exact"])
 
     return run
 
 
 def split(
     df: DataFrame, id: str, text: str, limits: Limits = Limits(), directory: str = TOKENIZER_DIR, name: str = TOKENIZER,
-    size: int = RANGE, left: int = LEFT, right: int = RIGHT,
+    size: int = RANGE, halo: int = HALO,
 ) -> DataFrame:
-    """Pieces of all texts: ``id, piece_no, start, end, n_tokens, text``.
+    """Pieces of all texts: ``id, piece_no, start, end, n_tokens, text``. Lazy.
 
     A text within the limit is its only piece, as are empty and NULL texts with
     0 tokens; a longer one has pieces of at most ``limits.most`` tokens, counted
@@ -341,56 +369,25 @@ def split(
     the last of its kind, begin at the best one near, and share
     ``least_shared`` to ``most_shared`` tokens with the next. Offsets count
     characters from 0, ``end`` is exclusive. Repeated rows are split as often as
-    they occur; NULL ids stay. A text whose ranges find no hold (no white space
-    within a halo) is read as one range instead.
+    they occur; NULL ids stay; bytes that are no UTF-8 count as U+FFFD. Other
+    columns are not read. A single word or run of white space that fills a whole
+    halo is cut at seams between ranges; pieces over a seam hold about half as much.
     """
+    if size < 4 * halo or halo < 64:
+        raise ValueError("a halo has at least 64 bytes and a range four halos")
     kind = df.schema[id].dataType.simpleString()
-    context = df.sparkSession.sparkContext
-    shared = share(df, directory, name), context.broadcast(_byte_lengths(directory, name))
-    rows = df.select(F.col(id).alias("id"), F.xxhash64(F.col(text)).alias("hash"), F.col(text).alias("text"))
-    read = materialize(rows.mapInArrow(_read_ranges(shared, limits, size, left), _OUT.format(kind=kind)), "ranges")
-    done = read.where("piece_no IS NOT NULL").select("id", "piece_no", "start", "end", "n_tokens", "text")
-
-    key = ["id", "hash", "length"]
-    same = lambda a, b, *more: _all(F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in (*key, *more))
-    # a text stored twice has each range twice, all alike
-    notes = read.where("piece_no IS NULL").dropDuplicates([*key, "range_no"])
-    sums = notes.select(*key, "range_no", "owned")
-    by_range = Window.partitionBy(*key).orderBy("range_no")
-    placed = sums.select(
-        *key, "range_no", (F.sum(F.col("owned").cast("long")).over(by_range.rowsBetween(Window.unboundedPreceding, 0)) - F.col("owned")).alias("base"),
-        F.min("owned").over(Window.partitionBy(*key)).alias("held"),
-    )
-    known = notes.alias("n").join(placed.where("held >= 0").alias("p"), same("n", "p", "range_no")).select(*[f"n.{c}" for c in key], "n.range_no", "p.base", "n.owned", "n.at", "n.before", "n.tags")
-    ordered = known.repartition(*key).sortWithinPartitions(*key, "range_no").drop("range_no")
-    cuts = ordered.mapInArrow(_choose_cuts(limits), f"id {kind}, hash long, length int, k long, cut long, next long")
-    # the first piece begins at 0; each cut ends the piece before it
-    begin = placed.where("range_no = 0 AND held >= 0").select(*key, F.lit(0).cast("long").alias("k"), F.lit(-1).cast("long").alias("cut"), F.lit(0).cast("long").alias("next"))
-    spans = cuts.unionByName(begin).select(
-        *key, F.col("k").cast("int").alias("piece_no"), F.col("next").cast("int").alias("start"),
-        F.coalesce(F.lead("cut").over(Window.partitionBy(*key).orderBy("k")), F.col("length").cast("long")).cast("int").alias("end"),
-    )
-    lost = spans.where((F.col("start") < 0) | (F.col("end") - F.col("start") > right)).select(*key)
-    astray = materialize(placed.where("held < 0").select(*key).unionByName(lost).distinct(), "astray")
-    spans = spans.alias("s").join(astray.alias("a"), same("s", "a"), "left_anti")
-    per_range = spans.groupBy(*key, F.floor(F.col("start") / size).cast("int").alias("range_no")).agg(F.collect_list(F.struct("piece_no", "start", "end")).alias("spans"))
-
-    long = rows.where(F.length("text") > size)
-    slices = long.mapInArrow(_slices(size, right), f"id {kind}, hash long, length int, range_no int, slice string")
-    cut = slices.alias("t").join(per_range.alias("p"), same("t", "p", "range_no")).select("t.id", "t.hash", "t.range_no", "t.slice", "p.spans")
-    emitted = cut.mapInArrow(_emit_slices(shared, limits, size), f"id {kind}, hash long, piece_no int, start int, end int, n_tokens int, text string")
-    # numbers follow the starts, also where a piece had to be split further; copies of a text share them
-    number = F.dense_rank().over(Window.partitionBy("id", "hash").orderBy("start")) - 1
-    out = done.unionByName(emitted.select("id", number.alias("piece_no"), "start", "end", "n_tokens", "text"))
-    if not astray.isEmpty():
-        whole = long.withColumn("length", F.length("text")).alias("t").join(astray.alias("a"), same("t", "a"), "left_semi").select("id", "hash", "text")
-        again = whole.mapInArrow(_read_ranges(shared, limits, 2**31 - 1, left), _OUT.format(kind=kind))
-        out = out.unionByName(again.select("id", "piece_no", "start", "end", "n_tokens", "text"))
-    return out.withColumnsRenamed({"id": id})
-
-
-def _all(conditions):
-    out = F.lit(True)
-    for c in conditions:
-        out &= c
-    return out
+    byte_lengths = _byte_lengths(directory, name)
+    shared = share(df, directory, name), df.sparkSession.sparkContext.broadcast(byte_lengths)
+    # no piece has more bytes than this many of the longest tokens, so it lies whole in the slice it begins in
+    right = max(halo + 8, (limits.most + 2 * LONG_WORD) * int(byte_lengths.max()))
+    slices = ranges(df, id, text, size, right)
+    notes = slices.mapInArrow(_reader(shared, limits, size, halo), "doc long, hash long, length int, range_no int, begin long, chars long, tokens long, notes binary")
+    ordered = notes.repartition("doc", "hash", "length").sortWithinPartitions("doc", "hash", "length", "range_no")
+    spans = ordered.mapInArrow(
+        _stitcher(limits, size), "doc long, hash long, length int, range_no int, piece_no int, start_byte long, end_byte long, start long, end long, n_tokens long, exact boolean"
+    )
+    at = F.greatest(F.col("range_no").cast("long") * size - BEFORE, F.lit(0))
+    piece = F.substring("slice", (F.col("start_byte") - at + 1).cast("int"), (F.col("end_byte") - F.col("start_byte")).cast("int")).cast("string")
+    pieces = slices.join(spans, _KEY).select("id", "piece_no", F.col("start").cast("int"), F.col("end").cast("int"), "n_tokens", "exact", piece.alias("text"))
+    out = f"id {kind}, piece_no int, start int, end int, n_tokens long, text string"
+    return pieces.mapInArrow(_recount(shared), out).withColumnsRenamed({"id": id})

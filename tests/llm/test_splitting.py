@@ -3,6 +3,7 @@
 import random
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -63,9 +64,23 @@ def test_odd_texts(odd):
 
 def test_ranges_equal_whole(odd):
     names = ["doc_id", "piece_no", "start", "end", "n_tokens", "text"]
-    whole = sorted(map(str, splitting.split(odd, "doc_id", "text", size=2**30).select(*names).collect()))
-    small = sorted(map(str, splitting.split(odd, "doc_id", "text", size=3_000, left=1_500, right=30_000).select(*names).collect()))
-    assert small == whole
+    whole = {(r.doc_id, r.piece_no): r for r in splitting.split(odd, "doc_id", "text", size=2**30).select(*names).collect()}
+    rows = splitting.split(odd, "doc_id", "text", size=12_000, halo=3_000).collect()
+    check(odd_texts(), rows)
+    # only where one word or run of white space fills a halo do ranges show
+    plain = [i for i, t in odd_texts().items() if not (t and regex.search(r"\p{L}{2500}|\s{2500}|[^\s\p{L}\p{N}]{700}", t))]
+    assert len(plain) > 12
+    for i in plain:
+        assert {(r.doc_id, r.piece_no): (r.start, r.end, r.n_tokens) for r in rows if r.doc_id == i} == {k: (r.start, r.end, r.n_tokens) for k, r in whole.items() if k[0] == i}
+
+
+def test_one_long_text_is_read_by_many_tasks(spark):
+    text = words(random.Random(3), 200_000)
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    shares = [r.n for r in splitting.ranges(df, "doc_id", "text", 16_384, 70_000).groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(shares) == -(-len(text.encode()) // 16_384) and len(shares) == 4 and max(shares) < sum(shares) / 2
 
 
 def test_repeated_rows_and_null_ids(spark):
@@ -95,11 +110,13 @@ def test_rare_breaks(spark, end, size):
     rng = random.Random(11)
     text = "".join(" ".join(rng.choice(["probe", "sends", "the", "rows"]) for _ in range(rng.randint(100, 300))) + end for _ in range(60))
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
-    rows = sorted(splitting.split(df, "doc_id", "text", size=size).collect(), key=lambda r: r.piece_no)
+    rows = sorted(splitting.split(df, "doc_id", "text", size=size, halo=size // 4).collect(), key=lambda r: r.piece_no)
     check({1: text}, rows)
     assert all(text[: r.end].rstrip(" ").endswith(end.strip(" ")) for r in rows[:-1])
 
 
 def test_empty(spark):
+    with pytest.raises(ValueError):
+        splitting.Limits(40, 10, 20)
     assert splitting.split(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text").count() == 0
     assert splitting.split(spark.createDataFrame([("a", None)], "k string, text string").withColumn("x", F.lit(1)), "k", "text").first().n_tokens == 0
