@@ -123,7 +123,7 @@ def owned(data: bytes | None, r: int, length: int, size: int, halo: int) -> Part
 def boundaries(part: Part, words: list[str], encoder: Encoder, byte_lengths: np.ndarray) -> tuple[np.ndarray, int]:
     """Rows of bytes, characters and tokens before each boundary of the part, its kind and adjustment; and the tokens in all."""
     known, text = encoder.known, part.text
-    tokens = np.fromiter((len(known[w]) for w in words), np.int64, len(words))
+    tokens = np.fromiter(map(encoder.sizes.__getitem__, words), np.int64, len(words))
     chars = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
     upto = np.cumsum(tokens)
     total = int(upto[-1]) if len(words) else 0
@@ -139,9 +139,10 @@ def boundaries(part: Part, words: list[str], encoder: Encoder, byte_lengths: np.
         ends_white = white[at - 1]
         both = np.flatnonzero(ends_white[1:] & ends_white[:-1]) + 1
         runs = [words[i - 1] + words[i] for i in both.tolist()]
-        encoder.ensure(runs)
+        if runs:
+            encoder.ensure(runs)
         for i, run in zip(both.tolist(), runs, strict=True):
-            adjust[i] = np.clip(len(known[run]) - tokens[i - 1] - tokens[i], -100, 100)
+            adjust[i] = max(-100, min(100, len(known[run]) - tokens[i - 1] - tokens[i]))
             dropped[i] = tokens[i - 1] > LONG_WORD
     extra = []
     for i in np.flatnonzero(tokens > LONG_WORD).tolist():
@@ -293,8 +294,7 @@ def _reader(shared, limits: Limits, size: int, halo: int):
                 encoder.trim()
                 rows = []
                 for part, words, length in zip(parts, encoder.words([p.text for p in parts]), lengths.slice(i, j - i).to_pylist(), strict=True):
-                    known = encoder.known
-                    if length <= size and (total := sum([len(known[w]) for w in words])) <= limits.most:
+                    if length <= size and (total := sum(map(encoder.sizes.__getitem__, words))) <= limits.most:
                         rows.append((0, len(part.text), total, b""))
                         continue
                     notes, total = boundaries(part, words, encoder, byte_lengths)

@@ -48,6 +48,18 @@ def test_random(text):
     assert TOKENS.decode(ENCODER.encode([text])[0], skip_special_tokens=False) == text
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab '1é日🎉=-stre"), min_size=1, max_size=12), min_size=1, max_size=20, unique=True))
+def test_both_ways_agree(words):
+    assert ENCODER.side_by_side(words) == ENCODER.replay(words)
+
+
+def test_words_are_replayed_once(spark, monkeypatch):
+    monkeypatch.setattr(encode, "BLOCK_CHARS", 10)
+    df = spark.createDataFrame([(i, "the same words " * 3) for i in range(50)], "doc_id int, text string").repartition(5)
+    assert all(r.ids == want(["the same words " * 3])[0] for r in encode.encode(df, "doc_id", "text").collect())
+
+
 def test_segments_are_cut_where_words_begin():
     rng = random.Random(2)
     for _ in range(40):
