@@ -12,6 +12,7 @@ FLOW_FIELDS = "c_ip c_port s_ip s_port c_pkt c_bytes s_pkt s_bytes time_start ti
 GAP_MS = 1_800_000
 HEAVY_PERMILLE = 25
 STAMP_YEAR = 2024
+HTTP_TYPES = {c: "bigint" for c in ("c_port", "s_port", "request_body_len", "response_body_len", "status_code")} | {"req_time": "double", "resp_time": "double"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,8 +49,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _http_intake(spark: SparkSession, sf_dir: str) -> intake.Intake:
-    types = {c: "bigint" for c in ("c_port", "s_port", "request_body_len", "response_body_len", "status_code")} | {"req_time": "double", "resp_time": "double"}
-    return intake.Intake(table(spark, sf_dir, "http_lines"), "line_id", "line", intake.HTTP_FIELDS, intake.HTTP_RULES, types)
+    return intake.Intake(table(spark, sf_dir, "http_lines"), "line_id", "line", intake.HTTP_FIELDS, intake.HTTP_RULES, HTTP_TYPES)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,15 +111,27 @@ def _field(i: int) -> str:
     return f"CASE WHEN starts_with({raw}, '\"') THEN replace(substring({raw}, 2, length({raw}) - 2), '\"\"', '\"') ELSE {raw} END"
 
 
+_JUDGED = f"""WITH q AS (SELECT line_id, line, regexp_full_match(line, '{_CELL}(,{_CELL})*', 's') AS quoted FROM http_lines),
+    n AS (SELECT *, length(regexp_replace(regexp_replace(line, '"([^"]|"")*"', '', 'gs'), '[^,]', '', 'gs')) + 1 AS n FROM q),
+    f AS (SELECT *, {_field(7)} AS host, {_field(17)} AS size, {_field(18)} AS status FROM n),
+    r AS (SELECT *, CASE WHEN NOT quoted THEN 'quoting' WHEN n <> 19 THEN 'columns'
+        WHEN host <> '-' AND NOT (length(host) <= 253 AND regexp_full_match(host, '{_LABEL}([.]{_LABEL})*', 's')) THEN 'host'
+        WHEN size <> '-' AND NOT (regexp_full_match(size, '[0-9]+', 's') AND TRY_CAST(size AS BIGINT) IS NOT NULL) THEN 'response_body_len'
+        WHEN status <> '-' AND NOT regexp_full_match(status, '[1-5][0-9][0-9]', 's') THEN 'status_code' END AS reason FROM f)"""
+
+
+def _typed(i: int, name: str) -> str:
+    value, kind = f"nullif({_field(i)}, '-')", HTTP_TYPES.get(name)
+    if kind == "bigint":
+        value = f"CASE WHEN regexp_full_match({value}, '[-+]?[0-9]+') THEN TRY_CAST({value} AS BIGINT) END"
+    elif kind:
+        value = f"TRY_CAST({value} AS DOUBLE)"
+    return f"{value} AS {name}"
+
+
 SQL = {
-    "p5_found": f"""WITH q AS (SELECT line_id, line, regexp_full_match(line, '{_CELL}(,{_CELL})*', 's') AS quoted FROM http_lines),
-        n AS (SELECT *, length(regexp_replace(regexp_replace(line, '"([^"]|"")*"', '', 'gs'), '[^,]', '', 'gs')) + 1 AS n FROM q),
-        f AS (SELECT *, {_field(7)} AS host, {_field(17)} AS size, {_field(18)} AS status FROM n),
-        r AS (SELECT line_id, CASE WHEN NOT quoted THEN 'quoting' WHEN n <> 19 THEN 'columns'
-            WHEN host <> '-' AND NOT (length(host) <= 253 AND regexp_full_match(host, '{_LABEL}([.]{_LABEL})*', 's')) THEN 'host'
-            WHEN size <> '-' AND NOT (regexp_full_match(size, '[0-9]+', 's') AND TRY_CAST(size AS BIGINT) IS NOT NULL) THEN 'response_body_len'
-            WHEN status <> '-' AND NOT regexp_full_match(status, '[1-5][0-9][0-9]', 's') THEN 'status_code' END AS reason FROM f)
-        SELECT line_id, reason FROM r WHERE reason IS NOT NULL""",
+    "p5_found": f"""{_JUDGED} SELECT line_id, reason FROM r WHERE reason IS NOT NULL""",
+    "p5_rows": f"""{_JUDGED} SELECT line_id, {", ".join(_typed(i, c) for i, c in enumerate(intake.HTTP_FIELDS))} FROM r WHERE reason IS NULL""",
     "p2_per_key": f"SELECT field, key_value, count(*) AS n_rows, min(t) AS first_time, max(t) AS last_time FROM ({_KEYS}) GROUP BY field, key_value",
     "p2_found": f"""WITH k AS (SELECT field, key_value, count(*) AS n FROM ({_KEYS}) GROUP BY 1, 2)
         SELECT field, key_value FROM k WHERE key_value IS NOT NULL
