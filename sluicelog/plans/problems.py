@@ -1,5 +1,6 @@
 """The queries p2, p3, p5 and p7 with their SQL twins."""
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import plain_form, plain_form_sql
 from ..operators import intake, sessions, skew, timestamps
+from ..workdir import shared_dir
 
 FLOW_FIELDS = "c_ip c_port s_ip s_port c_pkt c_bytes s_pkt s_bytes time_start time_end name".split()
 GAP_MS = 1_800_000
@@ -32,20 +34,24 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skew.heavy_keys(p2_per_key(spark, sf_dir), HEAVY_PERMILLE).select("field", "key_value")
 
 
-def p3_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row of both intake tables: ``src, row_id, raw, utc_us``."""
+def _stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     probes = table(spark, sf_dir, "probes").select("probe_id", "zone", "date_order")
     both = [
-        table(spark, sf_dir, src).select(F.lit(src).alias("src"), "row_id", "probe_id", F.col(column).alias("raw"))
-        for src, column in (("http_intake", "req_time"), ("flow_intake", "time_start"))
+        table(spark, sf_dir, source).select(F.lit(source).alias("source"), "row_id", "probe_id", F.col(column).alias("raw"))
+        for source, column in (("http_intake", "req_time"), ("flow_intake", "time_start"))
     ]
-    stamps = both[0].unionByName(both[1]).join(probes, "probe_id", "left").drop("probe_id")
-    return timestamps.normalise(stamps, STAMP_YEAR).select("src", "row_id", "raw", "utc_us")
+    return both[0].unionByName(both[1]).join(probes, "probe_id", "left").drop("probe_id")
+
+
+def p3_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of both intake tables: ``src, row_id, raw, utc_us``. Its dictionary lasts: another run over the same folder parses only what is new there."""
+    path = f"{shared_dir(spark)}/stamp-dictionary-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    return timestamps.normalise(_stamps(spark, sf_dir), STAMP_YEAR, path).select(F.col("source").alias("src"), "row_id", "raw", "utc_us")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows whose stamp denotes an instant."""
-    return p3_stamps(spark, sf_dir).where("utc_us IS NOT NULL").select("src", "row_id", "utc_us")
+    """The rows whose stamp denotes an instant, by a dictionary of this run."""
+    return timestamps.normalise(_stamps(spark, sf_dir), STAMP_YEAR).where("utc_us IS NOT NULL").select(F.col("source").alias("src"), "row_id", "utc_us")
 
 
 def _http_intake(spark: SparkSession, sf_dir: str) -> intake.Intake:

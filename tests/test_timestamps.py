@@ -117,6 +117,16 @@ CASES = [
     (None, "UTC", "dmy", None),
     ("1" * 100_000, "UTC", "dmy", None),
     ("x" * 100_000, "UTC", "dmy", None),
+    (" " * 250 + "2024-06-01 10:00:00Z" + "\u3000" * 50_000, "UTC", "dmy", "2024-06-01T10:00:00"),
+    ("2024-06-01 10:00:00." + "1" * 40_000 + "Z", "UTC", "dmy", "2024-06-01T10:00:00.111111"),
+    ("1717236000." + "0" * 300, "UTC", "dmy", "2024-06-01T10:00:00"),
+    ("02/03/24" + " " * 5_000 + "10:00:00", "UTC", "dmy", "2024-03-02T10:00:00"),
+    ("2024-06-01 10:00:00 " + "[" * 30_000, "UTC", "dmy", None),
+    (" " * 60_000, "UTC", "dmy", None),
+    ("2024-06-01\x1f10:00:00", "UTC", "dmy", None),
+    ("2024-06-01 10:00:00 [Europe/Rome]", "UTC", "dmy", "2024-06-01T08:00:00"),
+    ("2024-06-01 10:00:00 [GMT]", "Europe/Rome", "dmy", "2024-06-01T10:00:00"),
+    ("2024-06-01 10:00:00 EDT", None, "dmy", None),
 ]
 
 
@@ -130,12 +140,42 @@ def test_fixed_cases(spark):
         assert r.utc_us == (want and micros(dt.datetime.fromisoformat(want))), CASES[r.id]
 
 
-def test_dictionary_grows(spark):
+def files(path):
+    return {str(x) for x in path.rglob("*.parquet")}
+
+
+def test_dictionary_grows(spark, tmp_path):
     one = spark.createDataFrame([("1717236000", "UTC", "dmy")], "raw string, zone string, date_order string")
-    known = timestamps.stamp_dictionary(one, 2024)
+    timestamps.stamp_dictionary(one, 2024, str(tmp_path))
+    first = files(tmp_path)
     both = one.unionByName(spark.createDataFrame([("junk", None, "dmy")], one.schema)).union(one)
-    again = timestamps.stamp_dictionary(both, 2024, known)
+    again = timestamps.stamp_dictionary(both, 2024, str(tmp_path))
     assert sorted((r.raw, r.utc_us) for r in again.collect()) == [("1717236000", 1717236000000000), ("junk", None)]
+    new = files(tmp_path) - first
+    assert first < files(tmp_path) and [r.raw for r in spark.read.parquet(*sorted(new)).collect()] == ["junk"]
+    with_source = both.withColumn("source", F.lit("a"))
+    assert timestamps.stamp_dictionary(with_source, 2024, str(tmp_path)).count() == 4
+    assert timestamps.normalise(with_source, 2024, str(tmp_path)).where("utc_us IS NOT NULL").count() == 2
+
+
+def test_second_run_parses_nothing(spark, sf_dir, tmp_path):
+    stamps = problems._stamps(spark, sf_dir)
+    n = timestamps.stamp_dictionary(stamps, 2024, str(tmp_path)).count()
+    before = files(tmp_path)
+    timestamps.stamp_dictionary(stamps, 2024, str(tmp_path))
+    new = files(tmp_path) - before
+    assert n > 0 and sum(spark.read.parquet(x).count() for x in new) == 0
+
+
+@pytest.mark.parametrize("year", [2011, 2014])
+def test_abbreviation_of_two_offsets(spark, year):
+    """Moscow's MSK was three and four hours ahead in both years."""
+    cases = [(f"{year}-01-20 12:00:00 MSK", "Europe/Moscow"), (f"{year}-07-20 12:00:00 MSK", "Europe/Moscow"), (f"{year}-12-20 12:00:00 MSK", "Europe/Moscow"), (f"{year}-10-26 01:30:00 MSK", "Europe/Moscow")]
+    df = spark.createDataFrame([(i, *c, None) for i, c in enumerate(cases)], "id int, raw string, zone string, date_order string")
+    got = {r.id: r.utc_us for r in timestamps.normalise(df, year).collect()}
+    assert len(got) == timestamps.normalise(df, year).count() == len(cases)
+    for i, (raw, zone) in enumerate(cases):
+        assert got[i] == local_to_utc(dt.datetime.fromisoformat(raw[:19]), zone), raw
 
 
 @pytest.mark.parametrize("rows", [[]])
