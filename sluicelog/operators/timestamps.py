@@ -17,6 +17,8 @@ from ..workdir import exists, temporary
 
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 _US = 1_000_000
+#: Offsets that an abbreviation may have in a zone in one year (two in all years since 1970).
+MOST_OFFSETS = 3
 #: Parts the extraction and stands in no stamp.
 _SEP = "\x1f"
 _SPACE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -40,6 +42,9 @@ _SHAPES = (
 )
 _ANY = r"\A(?:" + "|".join(pattern for pattern, _ in _SHAPES) + r")\z"
 _GROUPS = [part for _, parts in _SHAPES for part in parts]
+_PARTS = list(dict.fromkeys(_GROUPS))
+#: Each part is what the groups for it hold together: those of shapes that don't fit are empty.
+_TO_PARTS = _SEP.join("".join(f"${i}" for i, x in enumerate(_GROUPS, 1) if x == part) for part in _PARTS)
 
 
 @functools.cache
@@ -60,6 +65,8 @@ def abbreviations(spark: SparkSession, year: int) -> DataFrame:
     for zone, letters, offset in zone_table(year):
         if letters.isalpha():
             offsets.setdefault((zone, letters), set()).add(offset)
+    if max(map(len, offsets.values())) > MOST_OFFSETS:
+        raise ValueError(f"an abbreviation stood for more than {MOST_OFFSETS} offsets in {year}")
     return spark.createDataFrame([(*k, sorted(v, reverse=True)) for k, v in offsets.items()], "zone string, letters string, offsets array<int>")
 
 
@@ -82,8 +89,8 @@ def _month_days(y: Column, m: Column) -> Column:
 
 
 def _parts(s: Column) -> Column:
-    """All groups of all shapes in one run of the pattern, else an array of one."""
-    return F.split(F.regexp_replace(s, _ANY, _SEP.join(f"${i}" for i in range(1, len(_GROUPS) + 1))), _SEP)
+    """The parts of a stamp of any shape in one run of the pattern, else an array of one."""
+    return F.split(F.regexp_replace(s, _ANY, _TO_PARTS), _SEP)
 
 
 def _epoch(s: Column, low: int, high: int) -> Column:
@@ -126,13 +133,8 @@ def parse_stamps(entries: DataFrame, year: int) -> DataFrame:
     step = entries.select(*columns, _bare(F.col("raw")).alias("_s")).withColumn("_epoch", _epoch(F.col("_s"), low, high))
     step = step.withColumn("_f", F.when(F.col("_epoch").isNull() & ~F.col("_s").contains(_SEP), _parts(F.col("_s"))))
 
-    def p(name: str) -> Column:
-        """The part by that name of the shape that fits; the groups of all others are empty."""
-        return F.concat(*[F.col("_f")[i] for i, part in enumerate(_GROUPS) if part == name])
-
-    names = list(dict.fromkeys(_GROUPS))
-    step = step.withColumn("_p", F.when(F.size("_f") == len(_GROUPS), F.struct(*[p(x).alias(x) for x in names])))
-    p = lambda name: F.col(f"_p.{name}")
+    step = step.withColumn("_p", F.when(F.size("_f") == len(_PARTS), F.col("_f")))
+    p = lambda name: F.col("_p")[_PARTS.index(name)]
     month = F.try_element_at(F.create_map(*[x for i, name in enumerate(MONTHS, 1) for x in (F.lit(name), F.lit(i))]), F.lower(p("month")))
     first, second, year_no = _int(p("first")), _int(p("second")), _int(p("y"))
     date = F.struct(
@@ -159,8 +161,9 @@ def parse_stamps(entries: DataFrame, year: int) -> DataFrame:
     step = step.join(F.broadcast(abbreviations(entries.sparkSession, year)), ["zone", "letters"], "left")
     wall = F.timestamp_micros("_local")
     micros = lambda offset: F.col("_local") - offset.cast("bigint") * _US
-    valid = F.filter("offsets", lambda x: F.from_utc_timestamp(F.timestamp_micros(micros(x)), F.coalesce("zone", F.lit("UTC"))) == wall)
-    abbreviated = F.when(F.size("offsets") == 1, F.get("offsets", F.lit(0))).when(F.size("offsets") > 1, F.get(valid, F.lit(0)))
+    few = [F.get("offsets", F.lit(i)) for i in range(MOST_OFFSETS)]
+    valid = [F.when(F.from_utc_timestamp(F.timestamp_micros(micros(x)), F.coalesce("zone", F.lit("UTC"))) == wall, x) for x in few]
+    abbreviated = F.when(F.size("offsets") == 1, few[0]).when(F.size("offsets") > 1, F.coalesce(*valid))
     there = F.to_utc_timestamp(wall, F.coalesce("_name", F.lit("UTC")))
     unskipped = F.from_utc_timestamp(there, F.coalesce("_name", F.lit("UTC"))) == wall
     instant = F.when(F.col("_offset").isNotNull() | F.col("letters").isNotNull(), micros(F.coalesce("_offset", abbreviated))).when(F.col("_name").isNotNull() & unskipped, F.unix_micros(there))
