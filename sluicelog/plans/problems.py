@@ -1,5 +1,6 @@
 """The queries p2, p3, p5 and p7 with their SQL twins."""
 
+import datetime as dt
 import hashlib
 from collections.abc import Callable
 
@@ -135,7 +136,61 @@ def _typed(i: int, name: str) -> str:
     return f"{value} AS {name}"
 
 
+_ZONE_SQL = r"(?: *(?:\[([A-Za-z0-9_+/-]+)|((?:UTC|GMT|utc|gmt)?[+-]\d\d(?::?\d\d)?)|([A-Za-z]+)))?"
+_CLOCK_SQL = r"(\d{1,2}):(\d\d)(?::(\d\d)(?:[.,](\d+))?)?"
+#: Written for this twin alone: what a shape's groups are called, and its pattern.
+_SHAPES_SQL = {
+    "iso": ("y m d h mi s f zn zo zl", rf"^(\d{{4}})-(\d\d)-(\d\d)[Tt ] *{_CLOCK_SQL}{_ZONE_SQL}$"),
+    "digits": ("y m d h mi s f zn zo zl", rf"^(\d{{4}})(\d\d)(\d\d)[Tt ]?(\d\d)(\d\d)(\d\d)?(?:[.,]?((?:\d{{3}})+))?{_ZONE_SQL}$"),
+    "words": ("d mon y h mi s f half zn zo zl", rf"^(?:[A-Za-z]{{3,9}},? +)?(\d{{1,2}})[/ -]([A-Za-z]{{3}})[/ -](\d{{4}})[: Tt] *{_CLOCK_SQL}(?: *([AaPp])[Mm])?{_ZONE_SQL}$"),
+    "ctime": ("mon d h mi s f zn zo zl y", rf"^(?:[A-Za-z]{{3,9}},? +)?([A-Za-z]{{3}}) +(\d{{1,2}}) +{_CLOCK_SQL}{_ZONE_SQL} +(\d{{4}})$"),
+    "slashes": ("a b y h mi s f half zn zo zl", rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}}|\d\d)[ ,Tt]+{_CLOCK_SQL}(?: *([AaPp])[Mm])?{_ZONE_SQL}$"),
+}
+
+
+def _shape_sql(name: str) -> str:
+    groups, pattern = _SHAPES_SQL[name]
+    parts = [f"{x} := " + (f"g.{x}" if x in groups.split() else "''") for x in "y m d h mi s f half zn zo zl mon a b".split()]
+    listed = ", ".join(f"'{x}'" for x in groups.split())
+    return f"SELECT src, row_id, raw, zone, date_order, bare, struct_pack({', '.join(parts)}) AS g FROM (SELECT *, regexp_extract(bare, '{pattern}', [{listed}]) AS g FROM b WHERE num IS NULL AND regexp_matches(bare, '{pattern}'))"
+
+
+def _stamps_sql() -> str:
+    """The rule of the stamps for DuckDB; where two shapes could fit they agree."""
+    low, high = (int(dt.datetime(y, 1, 1, tzinfo=dt.UTC).timestamp()) * 10**6 for y in (STAMP_YEAR, STAMP_YEAR + 1))
+    offsets = ", ".join(f"('{z}', '{a}', {o})" for z, a, o in timestamps.zone_table(STAMP_YEAR) if a.isalpha())
+    surely = lambda x: f"CASE WHEN {x} >= {low} AND {x} < {high} THEN {x} END"
+    units = ", ".join(surely(x) for x in ("n::HUGEINT * 1000000 + us", "n::HUGEINT * 1000 + us // 1000", "n::HUGEINT", "n::HUGEINT // 1000"))
+    mon = "list_position(['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec'], lower(g.mon))"
+    slash = lambda first, second: f"CASE date_order WHEN '{first}' THEN g.a WHEN '{second}' THEN g.b END"
+    return rf"""WITH r AS (SELECT 'http_intake' AS src, row_id, probe_id, req_time AS raw FROM http_intake UNION ALL SELECT 'flow_intake', row_id, probe_id, time_start FROM flow_intake),
+    t AS (SELECT r.*, zone, date_order, regexp_replace(regexp_replace(raw, '^[\s"''\[({{<]+', ''), '[\s"''\])}}>]+$', '') AS bare FROM r LEFT JOIN probes USING (probe_id)),
+    n AS (SELECT *, CASE WHEN regexp_matches(bare, '^\d{{1,19}}(\.\d+)?$') THEN split_part(bare, '.', 1)::HUGEINT END AS n, rpad(substring(split_part(bare, '.', 2), 1, 6), 6, '0') AS u FROM t),
+    b AS (SELECT *, CASE WHEN n IS NOT NULL THEN (SELECT coalesce({units}) FROM (SELECT TRY_CAST(u AS INT) AS us)) END AS num FROM n),
+    g AS ({" UNION ALL ".join(_shape_sql(x) for x in _SHAPES_SQL)}),
+    d AS (SELECT *, CASE WHEN g.a <> '' AND length(g.y) = 2 THEN '20' || g.y ELSE g.y END AS yy,
+        CASE WHEN g.a <> '' THEN {slash("mdy", "dmy")} WHEN g.mon <> '' THEN {mon}::VARCHAR ELSE g.m END AS mm,
+        CASE WHEN g.a <> '' THEN {slash("dmy", "mdy")} ELSE g.d END AS dd,
+        CASE WHEN g.half = '' THEN g.h::INT WHEN g.h::INT BETWEEN 1 AND 12 THEN g.h::INT % 12 + CASE WHEN lower(g.half) = 'p' THEN 12 ELSE 0 END ELSE 99 END AS hh FROM g),
+    l AS (SELECT *, TRY_CAST(CASE WHEN hh <= 23 THEN yy || '-' || mm || '-' || dd || ' ' || lpad(hh::VARCHAR, 2, '0') || ':' || g.mi || ':' || CASE WHEN g.s = '' THEN '00' ELSE g.s END || '.' || rpad(substring(g.f, 1, 6), 6, '0') END AS TIMESTAMP) AS clock,
+        regexp_extract(g.zo, '([+-])(\d\d):?(\d\d)?$', ['sign', 'h', 'm']) AS o,
+        CASE WHEN g.zo = '' AND g.zl = '' THEN CASE WHEN g.zn = '' THEN zone WHEN upper(g.zn) NOT IN ('UTC', 'GMT') THEN g.zn END END AS place FROM d),
+    z AS (SELECT l.*, v.o AS letters FROM l LEFT JOIN (VALUES {offsets}) AS v(z, a, o) ON v.z = zone AND v.a = upper(g.zl) AND upper(g.zl) NOT IN ('Z', 'UTC', 'GMT')),
+    w AS (SELECT *, CASE WHEN place IN (SELECT name FROM pg_timezone_names()) THEN clock AT TIME ZONE place END AS there FROM z),
+    e AS (SELECT src, row_id, epoch_us(clock) AS us, CASE
+        WHEN upper(g.zl) IN ('Z', 'UTC', 'GMT') OR upper(g.zn) IN ('UTC', 'GMT') THEN epoch_us(clock)
+        WHEN g.zo <> '' THEN epoch_us(clock) - (CASE o.sign WHEN '-' THEN -1 ELSE 1 END) * (TRY_CAST(o.h AS BIGINT) * 3600 + coalesce(TRY_CAST(o.m AS BIGINT), 0) * 60) * 1000000
+        WHEN g.zl <> '' THEN epoch_us(clock) - letters::BIGINT * 1000000
+        WHEN (there - INTERVAL 1 HOUR) AT TIME ZONE place = clock THEN epoch_us(there) - 3600000000
+        WHEN (there - INTERVAL 30 MINUTE) AT TIME ZONE place = clock THEN epoch_us(there) - 1800000000
+        WHEN there AT TIME ZONE place = clock THEN epoch_us(there) END AS utc FROM w),
+    f AS (SELECT src, row_id, max({surely("utc")}) AS utc FROM e GROUP BY 1, 2),
+    s AS (SELECT b.src, b.row_id, b.raw, coalesce(b.num, f.utc)::BIGINT AS utc_us FROM b LEFT JOIN f USING (src, row_id))"""
+
+
 SQL = {
+    "p3_stamps": f"{_stamps_sql()} SELECT * FROM s",
+    "p3_found": f"{_stamps_sql()} SELECT src, row_id, utc_us FROM s WHERE utc_us IS NOT NULL",
     "p5_found": f"""{_JUDGED} SELECT line_id, reason FROM r WHERE reason IS NOT NULL""",
     "p5_rows": f"""{_JUDGED} SELECT line_id, {", ".join(_typed(i, c) for i, c in enumerate(intake.HTTP_FIELDS))} FROM r WHERE reason IS NULL""",
     "p2_per_key": f"SELECT field, key_value, count(*) AS n_rows, min(t) AS first_time, max(t) AS last_time FROM ({_KEYS}) GROUP BY field, key_value",
