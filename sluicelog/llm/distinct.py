@@ -1,6 +1,6 @@
 """Distinct counts by the k smallest hash values of each group.
 
-A sketch is a set of rows: the group's columns, ``counted`` and ``hash``. A
+A sketch is one row: the group's columns, ``counted`` and ``hashes``, sorted. A
 group with fewer than k different hashes holds them all, its count is exact;
 else the k-th smallest hash, as a share U of the hash range, gives (k - 1) / U
 with a relative standard error of at most 1 / sqrt(k - 2). Sketches merge by
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from ..session import ship
 
 K = 2048
-#: Rows taken up before they are reduced, kept rows before they are handed on, parts into which a group is spread while merging.
-TAKE_ROWS, HOLD_ROWS, SALTS = 400_000, 2_000_000, 64
+#: Rows taken up before they are reduced, kept rows before they are handed on, parts in which a group's sketches are merged before all are.
+TAKE_ROWS, HOLD_ROWS, SALTS = 400_000, 2_000_000, 256
 _SPAN = 2.0**64
 
 
@@ -46,6 +46,25 @@ def _codes(table: pa.Table, keys: list[str]) -> np.ndarray:
     return code
 
 
+def _arrays(table: pa.Table, keys: list[str], most: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """One row a group with its hashes; the rows of a group stand together, hashes ascending, an empty one last."""
+    code = _codes(table, keys)
+    column = table.column("hash").combine_chunks()
+    starts = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+    full = column.is_valid().to_numpy(zero_copy_only=False)
+    upto = np.concatenate(([0], np.cumsum(full)))
+    offsets = upto[np.append(starts, len(code))]
+    hashes = column.drop_null()
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1)
+        values = hashes.slice(offsets[i], offsets[j] - offsets[i])
+        lists = pa.ListArray.from_arrays(pa.array((offsets[i : j + 1] - offsets[i]).astype(np.int32)), values)
+        groups = table.select(keys).take(pa.array(starts[i:j])).combine_chunks()
+        yield pa.RecordBatch.from_arrays([*[groups.column(k).combine_chunks() for k in keys], lists], [*keys, "hashes"])
+        i = j
+
+
 def _sketcher(keys: list[str], k: int, take: int, hold: int):
     def reduce(table: pa.Table) -> pa.Table:
         column = table.column("hash").combine_chunks()
@@ -64,44 +83,47 @@ def _sketcher(keys: list[str], k: int, take: int, hold: int):
                 new = pa.Table.from_batches(fresh)
                 state, fresh, size = reduce(new if state is None else pa.concat_tables([state, new])), [], 0
                 if state.num_rows > hold:  # too many groups to hold: hand on what there is, merging takes care of it
-                    yield from state.to_batches(max_chunksize=50_000)
+                    yield from _arrays(state, keys)
                     state = None
-        if fresh:
+        if size:
             new = pa.Table.from_batches(fresh)
-            state = reduce(new if state is None else pa.concat_tables([state, new])) if new.num_rows or state is not None else None
+            state = reduce(new if state is None else pa.concat_tables([state, new]))
         if state is not None:
-            yield from state.to_batches(max_chunksize=50_000)
+            yield from _arrays(state, keys)
 
     return run
 
 
 def sketch(df: DataFrame, keys: Mapping[str, Column], counted: Mapping[str, Column], k: int = K, take: int = TAKE_ROWS, hold: int = HOLD_ROWS) -> DataFrame:
-    """Sketches of the values ``counted`` by the groups ``keys``: keys, ``counted``, ``hash``.
+    """Sketches of the values ``counted`` by the groups ``keys``: keys, ``counted``, ``hashes``.
 
-    NULL values are not counted, but a group that has only such keeps one row
-    with a NULL hash, so its count of 0 is known; NULL keys are keys. Each map
-    task hands on at most k hashes a group.
+    NULL values are not counted, but a group that has only such keeps an empty
+    sketch, so its count of 0 is known; NULL keys are keys. Each map task hands
+    on one array of at most k hashes a group.
     """
     ship(df.sparkSession)
     cells = F.array(*[F.struct(F.lit(name).alias("counted"), F.when(value.isNotNull(), F.xxhash64(value)).alias("hash")) for name, value in counted.items()])
     rows = df.select(*[c.alias(n) for n, c in keys.items()], F.explode(cells).alias("_cell")).select(*keys, "_cell.*")
-    local = rows.mapInArrow(_sketcher([*keys, "counted"], k, take, hold), rows.schema)
-    return merge(local, list(keys), k)
+    by = [*keys, "counted"]
+    out = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*by).schema], "hashes array<bigint>"])
+    return _merge(rows.mapInArrow(_sketcher(by, k, take, hold), out), by, F.spark_partition_id(), k)
+
+
+def _merge(sketches: DataFrame, by: list[str], spread: Column, k: int) -> DataFrame:
+    """The k smallest hashes of each group, first of each of its parts and then of all."""
+    least = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hashes")))), 1, k).alias("hashes")
+    parts = sketches.select(*by, "hashes", F.pmod(spread, F.lit(SALTS)).cast("int").alias("_part")).groupBy(*by, "_part").agg(least)
+    return parts.groupBy(*by).agg(least)
 
 
 def merge(sketches: DataFrame, keys: list[str], k: int = K) -> DataFrame:
     """Union of sketches by the given keys (columns not named are merged away).
 
-    A group is first spread by its hashes over ``SALTS`` parts, of which each
-    keeps its k smallest, so no task gets more than a bounded share of a hot
-    group.
+    A group's sketches are first merged in ``SALTS`` parts, so no task gets more
+    than a bounded share of a hot group's.
     """
-    by = [*keys, "counted"]
-    spread = sketches.select(*by, "hash", F.coalesce(F.pmod(F.col("hash"), F.lit(SALTS)), F.lit(-1)).cast("int").alias("_salt")).repartition(*by, "_salt").distinct()
-    few = spread.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_salt").orderBy("hash"))).where(F.col("_r") <= k)
-    # NULL sorts last here, so it never takes the place of a hash
-    last = Window.partitionBy(*by).orderBy(F.col("hash").asc_nulls_last())
-    return few.withColumn("_r", F.row_number().over(last)).where(F.col("_r") <= k).select(*by, "hash")
+    others = [c for c in sketches.columns if c != "hashes"]
+    return _merge(sketches, [*keys, "counted"], F.xxhash64(*others), k)
 
 
 def grouping_sets(sketches: DataFrame, keys: list[str], sets: list[list[str]], k: int = K) -> DataFrame:
@@ -110,8 +132,8 @@ def grouping_sets(sketches: DataFrame, keys: list[str], sets: list[list[str]], k
         F.struct(F.lit(sum(1 << (len(keys) - 1 - i) for i, key in enumerate(keys) if key in wanted)).alias("level"), *[(F.col(key) if key in wanted else F.lit(None)).alias(key) for key in keys])
         for wanted in sets
     ])
-    spread = sketches.select(F.explode(rows).alias("_g"), "counted", "hash").select("_g.*", "counted", "hash")
-    return merge(spread, ["level", *keys], k)
+    spread = sketches.select(F.explode(rows).alias("_g"), F.xxhash64(*keys).alias("_spread"), "counted", "hashes").select("_g.*", "_spread", "counted", "hashes")
+    return _merge(spread, ["level", *keys, "counted"], F.col("_spread"), k)
 
 
 def _share(hash: Column) -> Column:
@@ -124,41 +146,36 @@ def _bounds(estimate: Column, error: Column) -> list[Column]:
 
 def estimate(sketches: DataFrame, keys: list[str], k: int = K, sigmas: float = 2.0) -> DataFrame:
     """``keys, counted, estimate, lower, upper``: exact below k, else with ``sigmas`` standard errors either side."""
-    seen = sketches.groupBy(*keys, "counted").agg(F.count("hash").alias("_n"), F.max("hash").alias("_top"))
-    value = F.when(F.col("_n") < k, F.col("_n").cast("double")).otherwise((k - 1) / _share(F.col("_top")))
-    error = F.when(F.col("_n") < k, 0.0).otherwise(value * sigmas / math.sqrt(k - 2))
-    return seen.select(*keys, "counted", *_bounds(value, error))
+    n = F.size("hashes")
+    value = F.when(n < k, n.cast("double")).otherwise((k - 1) / _share(F.get("hashes", F.lit(k - 1))))
+    error = F.when(n < k, 0.0).otherwise(value * sigmas / math.sqrt(k - 2))
+    return sketches.select(*keys, "counted", *_bounds(value, error))
 
 
-def compare(sketches: DataFrame, group: Column, a: object, b: object, keys: list[str], k: int = K, sigmas: float = 2.0) -> DataFrame:
-    """Union, intersection and differences of the sets of group ``a`` and group ``b``.
+def compare(pairs: DataFrame, a: str, b: str, keys: list[str], k: int = K, sigmas: float = 2.0) -> DataFrame:
+    """Union, intersection and differences of the sets whose sketches are in the columns ``a`` and ``b`` of each row.
 
-    ``group`` tells the two apart among the rows of ``sketches``; results are by
-    ``keys`` and ``counted``: ``measure`` (union, both, only_a, only_b),
-    ``estimate, lower, upper``. Hashes up to the smaller of the two sketches'
-    bounds are a uniform sample of the union; each measure is the sample's
-    count over its share of the range, with a binomial standard error. Exact
-    while both sketches are below k.
+    Results are ``keys``, ``measure`` (union, both, only_a, only_b), ``estimate,
+    lower, upper``; a NULL sketch is that of an empty set. Hashes up to the
+    smaller of the two sketches' bounds are a uniform sample of the union; each
+    measure is the sample's count over its share of the range, with a binomial
+    standard error. Exact while both sketches are below k.
     """
-    by = [*keys, "counted"]
-    marked = sketches.where(group.isin(a, b)).select(*by, "hash", (group == a).alias("_a"))
-    sizes = marked.groupBy(*by, "_a").agg(F.count("hash").alias("_n"), F.max("hash").alias("_top"))
-    limit = sizes.groupBy(*by).agg(F.min(F.when(F.col("_n") >= k, F.col("_top"))).alias("_limit"))
-    sides = marked.where("hash IS NOT NULL").groupBy(*by, "hash").agg(F.bool_or("_a").alias("_in_a"), F.bool_or(~F.col("_a")).alias("_in_b"))
-    same = F.lit(True)
-    for c in by:
-        same &= F.col(f"s.{c}").eqNullSafe(F.col(f"l.{c}"))
-    kept = limit.alias("l").join(sides.alias("s"), same & (F.col("_limit").isNull() | (F.col("s.hash") <= F.col("_limit"))), "left")
-    totals = kept.groupBy(*[F.col(f"l.{c}").alias(c) for c in by], "_limit").agg(
-        F.count("hash").alias("_union"), F.count_if(F.col("_in_a") & F.col("_in_b")).alias("_both"), F.count_if(F.col("_in_a") & ~F.col("_in_b")).alias("_only_a"), F.count_if(~F.col("_in_a") & F.col("_in_b")).alias("_only_b")
-    )
+    none = F.array().cast("array<bigint>")
+    sides = pairs.select(*keys, F.coalesce(a, none).alias("_a"), F.coalesce(b, none).alias("_b"))
+    top = lambda c: F.get(c, F.lit(k - 1))
+    limited = sides.withColumn("_limit", F.least(top("_a"), top("_b")))  # NULL where both are below k
+    kept = lambda c: F.when(F.col("_limit").isNull(), F.col(c)).otherwise(F.filter(c, lambda x: x <= F.col("_limit")))
+    sample = limited.select(*keys, "_limit", kept("_a").alias("_a"), kept("_b").alias("_b"))
+    n = sample.select(*keys, "_limit", F.size("_a").alias("_na"), F.size("_b").alias("_nb"), F.size(F.array_intersect("_a", "_b")).alias("_both"))
+    counts = n.select(*keys, "_limit", "_both", (F.col("_na") - F.col("_both")).alias("_only_a"), (F.col("_nb") - F.col("_both")).alias("_only_b"), (F.col("_na") + F.col("_nb") - F.col("_both")).alias("_union"))
     # the hash at the bound is spent on finding it, as in (k - 1) / U
     share = F.when(F.col("_limit").isNull(), 1.0).otherwise(_share(F.col("_limit")) * F.col("_union") / F.greatest(F.col("_union") - 1, F.lit(1)))
     measures = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(f"_{m}").alias("_n")) for m in ("union", "both", "only_a", "only_b")]))
-    long = totals.select(*by, share.alias("_share"), measures.alias("_m")).select(*by, "_share", "_m.*")
+    long = counts.select(*keys, share.alias("_share"), measures.alias("_m")).select(*keys, "_share", "_m.*")
     value = F.col("_n") / F.col("_share")
     error = sigmas * F.sqrt(F.greatest(F.col("_n"), F.lit(1)) * (1 - F.col("_share"))) / F.col("_share")
-    return long.select(*by, "measure", *_bounds(value, error))
+    return long.select(*keys, "measure", *_bounds(value, error))
 
 
 def outstanding(estimates: DataFrame, day: str, group: str, least: int, times: float) -> DataFrame:

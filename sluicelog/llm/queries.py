@@ -8,6 +8,9 @@ from . import cooccurrence, distinct, encode, packing, quantiles, splitting
 
 CAPACITY = 2048
 TTL_MOST = 2**31 - 1
+DAILY = ["day_utc", "s_ip"]
+#: Size of the small sketches that the checks hold against exact results.
+CHECK_K = 64
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,10 +43,14 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cooccurrence.lifted(p1_pairs(spark, sf_dir), 8).select("name_a", "name_b")
 
 
-def _daily_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _served(spark: SparkSession, sf_dir: str) -> DataFrame:
     dns = _table(spark, sf_dir, "dns").where(F.col("s_ip").isNotNull() & F.col("req_time").isNotNull())
-    keys = {"day_utc": F.date_format(_day(F.col("req_time")), "yyyy-MM-dd"), "s_ip": F.col("s_ip")}
-    return distinct.sketch(dns, keys, {"c_ip": F.col("c_ip"), "query": plain_form(F.col("query"))})
+    return dns.select(F.date_format(_day(F.col("req_time")), "yyyy-MM-dd").alias("day_utc"), "s_ip", "c_ip", plain_form(F.col("query")).alias("query"))
+
+
+def _daily_sketches(spark: SparkSession, sf_dir: str, k: int = distinct.K) -> DataFrame:
+    served = _served(spark, sf_dir)
+    return distinct.sketch(served, {c: F.col(c) for c in DAILY}, {c: F.col(c) for c in ("c_ip", "query")}, k)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,9 +61,34 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Different clients and queries by day and resolver, by day, by resolver and in all, with bounds."""
-    keys = ["day_utc", "s_ip"]
-    sets = distinct.grouping_sets(_daily_sketches(spark, sf_dir), keys, [keys, ["day_utc"], ["s_ip"], []])
-    return distinct.estimate(sets, ["level", *keys])
+    return distinct.estimate(_sets(spark, sf_dir, distinct.K), ["level", *DAILY])
+
+
+def _sets(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    return distinct.grouping_sets(_daily_sketches(spark, sf_dir, k), DAILY, [DAILY, ["day_utc"], ["s_ip"], []], k)
+
+
+def p4_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each day shares with the next, by resolver and over all of them: clients and queries of either, of both, of one alone, with bounds."""
+    daily = _daily_sketches(spark, sf_dir)
+    sets = distinct.grouping_sets(daily, DAILY, [DAILY, ["day_utc"]]).select("level", "day_utc", "s_ip", "counted", "hashes")
+    after = sets.select("level", F.date_format(F.date_sub("day_utc", 1), "yyyy-MM-dd").alias("day_utc"), F.coalesce("s_ip", F.lit("")).alias("_s"), "counted", F.col("hashes").alias("later"))
+    pairs = sets.withColumn("_s", F.coalesce("s_ip", F.lit(""))).join(after, ["level", "day_utc", "_s", "counted"])
+    return distinct.compare(pairs, "hashes", "later", ["level", *DAILY, "counted"])
+
+
+def p4_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact numbers beside sketches of only 64 hashes, whose estimates they must lie within five standard errors of."""
+    bounds = distinct.estimate(_sets(spark, sf_dir, CHECK_K), ["level", *DAILY], CHECK_K, 5.0)
+    served = _served(spark, sf_dir)
+    exact = served.groupingSets([DAILY, ["day_utc"], ["s_ip"], []], *DAILY).agg(F.grouping_id().alias("g"), F.countDistinct("c_ip").alias("c_ip"), F.countDistinct("query").alias("query"))
+    long = exact.select((3 - F.col("g")).alias("level"), *DAILY, F.explode(F.array(*[F.struct(F.lit(c).alias("counted"), F.col(c).alias("n")) for c in ("c_ip", "query")])).alias("_c")).select("level", *DAILY, "_c.*")
+    same = F.lit(True)
+    for c in ("level", *DAILY, "counted"):
+        same &= F.col(f"e.{c}").eqNullSafe(F.col(f"b.{c}"))
+    return long.alias("e").join(bounds.alias("b"), same, "left").select(
+        F.col("e.level").cast("int").alias("level"), "e.day_utc", "e.s_ip", "e.counted", "e.n", (F.col("e.n") >= CHECK_K).alias("estimated"), F.coalesce(F.col("e.n").between(F.col("lower"), F.col("upper")), F.lit(False)).alias("within")
+    )
 
 
 def _ttls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +109,18 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranks.where(F.col("p95") >= 10 * F.col("p50")).select("query")
 
 
+def p6_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the percentiles of sketches of level size 64, merged over the days, have exact ranks within twice their bound, for queries with more than 200 TTLs."""
+    ttls = _ttls(spark, sf_dir)
+    ranks = {"p50": 0.5, "p95": 0.95}
+    merged = quantiles.merge(quantiles.sketch(ttls, {"day": F.col("day"), "query": F.col("query")}, F.col("ttl"), CHECK_K), ["query"], CHECK_K).where("n > 200")
+    found = quantiles.percentiles(merged, ["query"], ranks)
+    error = 2 * 2.3 / CHECK_K**0.9
+    shares = ttls.join(found, "query").groupBy("query", "n").agg(*[F.avg((F.col("ttl") <= F.col(p)).cast("double")).alias(f"{p}_upto") for p in ranks], *[F.avg((F.col("ttl") < F.col(p)).cast("double")).alias(f"{p}_below") for p in ranks])
+    # among equal values any rank is theirs
+    return shares.select("query", "n", *[((F.col(f"{p}_upto") >= q - error) & (F.col(f"{p}_below") <= q + error)).alias(f"{p}_within") for p, q in ranks.items()])
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token ids of each document."""
     return encode.encode(_table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -104,7 +148,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_pairs": p1_pairs, "p1_counts": p1_counts, "p4_found": p4_found, "p4_counts": p4_counts, "p6_found": p6_found, "p6_percentiles": p6_percentiles,
+    "p1_found": p1_found, "p1_pairs": p1_pairs, "p1_counts": p1_counts, "p4_found": p4_found, "p4_counts": p4_counts, "p4_compare": p4_compare, "p4_check": p4_check, "p6_found": p6_found, "p6_percentiles": p6_percentiles, "p6_check": p6_check,
     "p8_ids": p8_ids, "p9_found": p9_found, "p9_containers": p9_containers, "p10_found": p10_found, "p10_pieces": p10_pieces,
 }
 
@@ -115,13 +159,29 @@ _BASKETS = f"""WITH i AS (SELECT DISTINCT c_ip, CAST(floor(time_start / 86400) A
         FROM p JOIN s AS sa ON sa.x = name_a JOIN s AS sb ON sb.x = name_b, t)"""
 _TTLS = f"""WITH t AS (SELECT query, ttl FROM (SELECT {plain_form_sql('"query"')} AS query, unnest(answer_ttls) AS ttl FROM dns)
     WHERE query IS NOT NULL AND ttl BETWEEN 0 AND {TTL_MOST})"""
+_SERVED = f"""r AS (SELECT strftime(make_timestamp(CAST(floor(req_time) AS BIGINT) * 1000000), '%Y-%m-%d') AS day_utc, s_ip, c_ip, {plain_form_sql('"query"')} AS q
+    FROM dns WHERE s_ip IS NOT NULL AND req_time IS NOT NULL)"""
 
 SQL = {
     "p1_pairs": f"{_BASKETS} SELECT * FROM q",
     "p1_counts": f"{_BASKETS.replace(' HAVING count(*) >= 20', '')} SELECT * FROM q",
     "p1_found": f"{_BASKETS} SELECT name_a, name_b FROM q WHERE n_ab * n_baskets >= 8 * n_a * n_b",
-    "p4_found": f"""WITH r AS (SELECT strftime(make_timestamp(CAST(floor(req_time) AS BIGINT) * 1000000), '%Y-%m-%d') AS day_utc, s_ip, c_ip, {plain_form_sql('"query"')} AS q
-            FROM dns WHERE s_ip IS NOT NULL AND req_time IS NOT NULL),
+    "p4_check": f"""WITH {_SERVED},
+        e AS (SELECT 3 - grouping_id(day_utc, s_ip) AS level, day_utc, s_ip, count(DISTINCT c_ip) AS c_ip, count(DISTINCT q) AS query FROM r GROUP BY GROUPING SETS ((day_utc, s_ip), (day_utc), (s_ip), ())),
+        u AS (UNPIVOT e ON c_ip, query INTO NAME counted VALUE n)
+        SELECT level::INT AS level, day_utc, s_ip, counted, n, n >= {CHECK_K} AS estimated, true AS within FROM u""",
+    "p6_check": f"""{_TTLS} SELECT query, count(*) AS n, true AS p50_within, true AS p95_within FROM t GROUP BY query HAVING count(*) > 200""",
+    "p4_compare": f"""WITH {_SERVED},
+        x AS (SELECT day_utc, s_ip, 'c_ip' AS counted, c_ip AS v FROM r UNION ALL SELECT day_utc, s_ip, 'query', q FROM r),
+        v AS (SELECT DISTINCT 3 AS level, day_utc, s_ip, counted, v FROM x UNION ALL SELECT DISTINCT 2, day_utc, NULL, counted, v FROM x),
+        g AS (SELECT DISTINCT level, day_utc, s_ip, counted FROM v),
+        p AS (SELECT a.*, b.day_utc AS later FROM g AS a JOIN g AS b ON a.level = b.level AND a.s_ip IS NOT DISTINCT FROM b.s_ip AND a.counted = b.counted AND b.day_utc = strftime(a.day_utc::DATE + 1, '%Y-%m-%d')),
+        s AS (SELECT p.level, p.day_utc, p.s_ip, p.counted, v, bool_or(v.day_utc = p.day_utc) AS a, bool_or(v.day_utc = p.later) AS b
+            FROM p JOIN v ON v.level = p.level AND v.s_ip IS NOT DISTINCT FROM p.s_ip AND v.counted = p.counted AND v.day_utc IN (p.day_utc, p.later) GROUP BY ALL),
+        c AS (SELECT level, day_utc, s_ip, counted, count(v) AS "union", count(v) FILTER (a AND b) AS "both", count(v) FILTER (a AND NOT b) AS only_a, count(v) FILTER (b AND NOT a) AS only_b FROM s GROUP BY 1, 2, 3, 4),
+        m AS (UNPIVOT c ON "union", "both", only_a, only_b INTO NAME measure VALUE n)
+        SELECT level, day_utc, s_ip, counted, measure, n::DOUBLE AS estimate, n::DOUBLE AS lower, n::DOUBLE AS upper FROM m""",
+    "p4_found": f"""WITH {_SERVED},
         d AS (SELECT day_utc, s_ip, count(DISTINCT c_ip) AS c_ip, count(DISTINCT q) AS query FROM r GROUP BY 1, 2),
         u AS (UNPIVOT d ON c_ip, query INTO NAME counted VALUE n),
         m AS (SELECT *, avg(n) OVER (PARTITION BY s_ip, counted) AS mean FROM u)
