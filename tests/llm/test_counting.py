@@ -24,12 +24,12 @@ def test_all_pairs(spark, sf_dir):
     assert min(r.n_ab for r in counts) == 1 and sum(r.n_ab < 20 for r in counts) > len(counts) / 2
 
 
-@pytest.mark.parametrize("block_rows,products", [(7, 5), (100, 64), (10**6, 10**6)])
-def test_pairs(spark, monkeypatch, block_rows, products):
+@pytest.mark.parametrize("block_rows,split_items", [(7, 3), (100, 5), (10**6, 10**6), (10**6, 1)])
+def test_pairs(spark, block_rows, split_items):
     rng = random.Random(block_rows)
     rows = [(rng.choice([None, *"xyz"]), rng.randint(1, 9), rng.choice([None, *"abcdefgh"]), "clash") for _ in range(900)] + [("w", 1, c, "") for c in "abcdefghijklmnop"]
     df = spark.createDataFrame(rows, "u string, d int, item string, n_ab string")
-    got = {(r.name_a, r.name_b): (r.n_ab, r.n_a, r.n_b, r.n_baskets) for r in cooccurrence.pair_counts(df, [df.u, df.d], df["item"], 3, block_rows).collect()}
+    got = {(r.name_a, r.name_b): (r.n_ab, r.n_a, r.n_b, r.n_baskets) for r in cooccurrence.pair_counts(df, [df.u, df.d], df["item"], 3, block_rows, split_items).collect()}
     baskets = {}
     for u, d, item, _ in rows:
         if item is not None:
@@ -45,7 +45,7 @@ def test_gram_block(products):
     rng = np.random.default_rng(products)
     matrix = rng.random((60, 40)) < 0.2
     record, item = np.nonzero(matrix)
-    a, b, n = cooccurrence.gram_block(record, item * 1000, products)
+    a, b, n = (np.concatenate(x) for x in zip(*cooccurrence.gram_block(record, item * 1000, products), strict=True))
     gram = matrix.T.astype(int) @ matrix
     want = {(i * 1000, j * 1000): gram[i, j] for i in range(40) for j in range(i + 1, 40) if gram[i, j]}
     got = Counter()
@@ -54,6 +54,25 @@ def test_gram_block(products):
     assert got == want
 
 
+def test_sides(spark):
+    record = np.array([0] * 6 + [1] * 3)
+    item, side = np.array([5, 1, 9, 2, 8, 7, 1, 2, 3]), np.array([0, 0, 0, 1, 1, 1, 0, 0, 0])
+    a, b, n = (np.concatenate(x) for x in zip(*cooccurrence.gram_block(record, item, 4, side), strict=True))
+    assert Counter({(i, j): c for i, j, c in zip(a.tolist(), b.tolist(), n.tolist(), strict=True)}) == Counter((min(x, y), max(x, y)) for x in (5, 1, 9) for y in (2, 8, 7))
+
+
+def test_one_basket_of_very_many_items(spark):
+    """A third of all rows in one basket: its product is spread, and no task holds the basket."""
+    big = spark.range(100_000).selectExpr("'hot' AS basket", "id AS item")
+    rest = spark.range(200_000).selectExpr("CAST(id DIV 4 AS STRING) AS basket", "IF(id % 4 < 2, id % 4, 1000 + id * 7 % 2500) AS item")
+    df = big.union(rest)
+    got = cooccurrence.pair_counts(df, [df.basket], df["item"], 3)
+    want = df.join(df.groupBy("item").count().where("count >= 3").select("item"), "item")
+    pairs = want.alias("x").join(want.alias("y"), F.expr("x.basket = y.basket AND x.item < y.item AND x.item IN (0, 1)")).groupBy("x.item", "y.item").count().where("count >= 3")
+    low = got.where("name_a IN ('0', '1') OR name_b IN ('0', '1')").selectExpr("least(int(name_a), int(name_b)) AS a", "greatest(int(name_a), int(name_b)) AS b", "n_ab")
+    assert sorted(map(tuple, low.collect())) == sorted(map(tuple, pairs.collect())) and got.where("name_a = '0' AND name_b = '1'").first().n_ab == 50_001
+
+
 def test_lift_bound(spark):
     pairs = spark.createDataFrame([("a", "b", 8, 10, 10, 100), ("a", "c", 7, 10, 10, 100), ("a", "d", 2**40, 2**41, 2**41, 2**45)], "name_a string, name_b string, n_ab long, n_a long, n_b long, n_baskets long")
     assert [r.name_b for r in cooccurrence.lifted(pairs, 8).collect()] == ["b", "d"]
