@@ -133,8 +133,10 @@ def pair_counts(df: DataFrame, basket: list[Column], item: Column, min_count: in
     vocabulary = materialize(
         inc.groupBy("_item").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_count).select("_item", "_n", F.monotonically_increasing_id().alias("_id")), "vocabulary"
     )
-    n_baskets = inc.select(*keys).distinct().agg(F.count(F.lit(1))).scalar()
-    large = inc.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > split_items).select(*[F.col(k).alias(f"{k}l") for k in keys], F.ceil(F.col("_m") / split_items).cast("int").alias("_groups"))
+    # the count reads the sizes, so both share one exchange
+    sizes = inc.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
+    n_baskets = sizes.agg(F.count_if(F.col("_m") > 0)).scalar()
+    large = sizes.where(F.col("_m") > split_items).select(*[F.col(k).alias(f"{k}l") for k in keys], F.ceil(F.col("_m") / split_items).cast("int").alias("_groups"))
     same = F.lit(True)
     for k in keys:
         same &= F.col(k).eqNullSafe(F.col(f"{k}l"))
