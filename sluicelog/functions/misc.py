@@ -27,6 +27,11 @@ def time_bin(seconds: Column, width: float) -> Column:
     return F.floor(seconds / F.lit(width)) * F.lit(width)
 
 
+def utc_timestamp(text: Column, pattern: str) -> Column:
+    """The instant of a time without zone that is UTC, whatever the session's zone; NULL if it doesn't fit."""
+    return F.try_to_timestamp(F.concat(text, F.lit(" +0000")), F.lit(f"{pattern} xx"))
+
+
 def quoted_tokens(line: Column) -> Column:
     """Tokens between blanks; a quoted one may hold blanks and loses its quotes."""
     raw = F.regexp_extract_all(line, F.lit(r'("[^"]*"|[^ "]+)'), F.lit(1))

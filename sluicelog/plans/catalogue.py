@@ -1,5 +1,5 @@
 """The modules that register queries."""
 
-from . import analytics, problems, surface
+from . import analytics, logs, problems, surface
 
-MODULES = [problems, analytics, surface]
+MODULES = [problems, analytics, surface, logs]

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.misc import field
+from ..functions.misc import field, utc_timestamp
 from ..schema import TableType
 from .lines import Source
 
@@ -14,7 +14,7 @@ def _dns(lines: DataFrame) -> DataFrame:
     rows = lines.select(F.split("value", " ").alias("f")).where((F.size("f") >= 11) & (f(2) == "queries:"))
     client = F.split(f(5), "#")
     at = F.concat_ws(" ", f(0), f(1))
-    times = [F.try_to_timestamp(at, F.lit(x)) for x in ("dd-MMM-yyyy HH:mm:ss.SSS", "dd-MMM-yyyy HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSS", "yyyy-MM-dd HH:mm:ss")]
+    times = [utc_timestamp(at, x) for x in ("dd-MMM-yyyy HH:mm:ss.SSS", "dd-MMM-yyyy HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSS", "yyyy-MM-dd HH:mm:ss")]
     when = F.unix_micros(F.coalesce(*times)) / 1e6
     none = lambda kind: F.array().cast(f"array<{kind}>")
     return rows.select(

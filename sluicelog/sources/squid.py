@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.misc import dash_null, field, quoted_tokens, url_parts
+from ..functions.misc import dash_null, field, quoted_tokens, url_parts, utc_timestamp
 from ..schema import TableType
 from .lines import Source
 
@@ -38,7 +38,7 @@ def _http(lines: DataFrame) -> DataFrame:
     request = F.split(_f(5), " ")
     method = F.when(_f(5) != "-", field(request, 0))
     host, port, path = url_parts(method, field(request, 1), bare_connect=True)
-    at = F.unix_micros(F.try_to_timestamp(F.ltrim(_f(3), F.lit("[")), F.lit("dd/MMM/yyyy:HH:mm:ss"))) / 1e6
+    at = F.unix_micros(utc_timestamp(F.ltrim(_f(3), F.lit("[")), "dd/MMM/yyyy:HH:mm:ss")) / 1e6
     other = combined.select(
         _f(0).alias("c_ip"), F.lit(None).cast("string").alias("s_ip"), port.alias("s_port"), at.alias("req_time"), at.alias("resp_time"), method.alias("method"), host.alias("host"), path.alias("path"),
         dash_null(_f(6)).try_cast("long").alias("status_code"), dash_null(_f(7)).try_cast("long").alias("response_body_len"), _f(8).alias("referrer"), _f(9).alias("user_agent"),

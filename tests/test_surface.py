@@ -5,9 +5,9 @@ import importlib.util
 import pytest
 from oracle import same
 
-from sluicelog.plans import analytics, catalogue, surface
+from sluicelog.plans import analytics, catalogue, logs, surface
 
-PARTS = [surface, analytics]
+PARTS = [surface, analytics, logs]
 #: Cases too rare for the smallest tables, covered by fixtures.
 MAY_BE_EMPTY = {"resolver_suspicious", "resolver_anomalies"}
 
@@ -20,6 +20,16 @@ def test_query(spark, sf_dir, name):
     assert n > 0 or name in MAY_BE_EMPTY
 
 
+@pytest.mark.parametrize("name", ["src_bind_dns", "src_squid_combined"])
+def test_times_do_not_depend_on_the_session(spark, sf_dir, name):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert same(logs.QUERIES[name](spark, sf_dir), logs.SQL[name], sf_dir) > 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_entry_points(spark):
     spec = importlib.util.spec_from_file_location("entry", "__spark_entry__.py")
     entry = importlib.util.module_from_spec(spec)
