@@ -57,7 +57,9 @@ def network_names(addresses: DataFrame, ip: str, prefixes: DataFrame) -> DataFra
     nets = parsed.groupBy(mask(F.col("_net"), F.col("_bits")).alias("_net"), "_bits").agg(F.min("_asn").alias("_asn"))
     single = addresses.select(F.col(ip).alias("_ip")).distinct()
     routed = single.withColumn("_number", F.when(~F.col("_ip").startswith("127.0."), ipv4_number(F.col("_ip"))))
-    tries = routed.where("_number IS NOT NULL").select("_ip", "_number", F.explode(F.sequence(F.lit(0), F.lit(32))).alias("_bits"))
+    # one row: the lengths in use
+    lengths = parsed.agg(F.coalesce(F.collect_set("_bits"), F.array().cast("array<int>"))).scalar()
+    tries = routed.where("_number IS NOT NULL").select("_ip", "_number", F.explode(lengths).alias("_bits"))
     keyed = tries.select("_ip", mask(F.col("_number"), F.col("_bits")).alias("_net"), "_bits")
     best = keyed.join(nets, ["_net", "_bits"]).groupBy("_ip").agg(F.max_by("_asn", "_bits").alias("_asn"))
     own = F.concat(F.substring_index("_ip", ".", 2), F.lit(".0.0"))

@@ -26,12 +26,13 @@ def answered(dns: DataFrame) -> DataFrame:
     """Rows of answered recursive look-ups: ``c_ip, resolver, fqdn`` (lower case), ``addresses`` (different IPv4 answers), ``clen`` (other answers), ``nip``, ``ttls``."""
     has = lambda bit: F.col("flags_resp").bitwiseAND(F.lit(bit).cast("long")) != 0
     kept = dns.where((F.col("resp_code") == "NOERROR") & has(RECURSION_AVAILABLE) & has(RECURSION_DESIRED))
-    v4 = F.array_distinct(F.filter("answers", ip.is_ipv4))
-    return kept.select(
-        "c_ip", F.col("s_ip").alias("resolver"), F.lower("query").alias("fqdn"), F.coalesce(v4, F.array().cast("array<string>")).alias("addresses"),
-        F.coalesce(F.size(F.filter("answers", lambda x: ~F.coalesce(ip.is_ipv4(x), F.lit(False)))), F.lit(0)).cast("long").alias("clen"),
-        F.coalesce(F.size(v4), F.lit(0)).cast("long").alias("nip"), F.coalesce(F.filter("answer_ttls", lambda x: x.isNotNull()), F.array().cast("array<bigint>")).alias("ttls"),
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    checked = kept.select(
+        "c_ip", F.col("s_ip").alias("resolver"), F.lower("query").alias("fqdn"), F.coalesce("answers", none("string")).alias("_all"), F.coalesce(F.filter("answers", ip.is_ipv4), none("string")).alias("_v4"),
+        F.coalesce(F.filter("answer_ttls", lambda x: x.isNotNull()), none("bigint")).alias("ttls"),
     )
+    sized = checked.select("c_ip", "resolver", "fqdn", F.array_distinct("_v4").alias("addresses"), (F.size("_all") - F.size("_v4")).cast("long").alias("clen"), "ttls")
+    return sized.select("c_ip", "resolver", "fqdn", "addresses", "clen", F.size("addresses").cast("long").alias("nip"), "ttls")
 
 
 def networks(rows: DataFrame, prefixes: DataFrame) -> DataFrame:
@@ -124,10 +125,12 @@ def network_norms(rows: DataFrame, nets: DataFrame, anomalies: DataFrame, suffix
 def by_network(rows: DataFrame, nets: DataFrame) -> DataFrame:
     """Histograms ``resolver, asn, feature, value, cnt`` of responses with addresses in a network: ``n``, ``query``, ``cname``, ``ttl``, ``nip``, ``server`` (addresses of that network)."""
     alike = ["resolver", "fqdn", "clen", "nip", "ttls", "addresses"]
-    responses = rows.where("nip > 0").groupBy(*alike).agg(F.count(F.lit(1)).alias("times"))
-    hosts = responses.select("*", F.explode("addresses").alias("address")).join(nets, "address")
+    # a response is known by a number from here on; written, it stays the same
+    responses = materialize(rows.where("nip > 0").groupBy(*alike).agg(F.count(F.lit(1)).alias("times")).withColumn("_no", F.monotonically_increasing_id()), "responses")
+    hosts = responses.select("_no", F.explode("addresses").alias("address")).join(nets, "address")
     # a list holds no more than one response's addresses
-    per_response = hosts.groupBy(*alike, "times", "asn").agg(F.collect_list("address").alias("inside"))
+    inside = hosts.groupBy("_no", "asn").agg(F.collect_list("address").alias("inside"))
+    per_response = responses.join(inside, "_no")
     cell = lambda name, value: F.struct(F.lit(name).alias("feature"), value.cast("string").alias("value"))
     cells = F.concat(
         F.array(cell("n", F.lit("")), cell("query", F.col("fqdn")), cell("cname", F.col("clen")), cell("nip", F.col("nip"))), F.transform("ttls", lambda x: cell("ttl", x)), F.transform("inside", lambda x: cell("server", x))
@@ -208,13 +211,16 @@ class Study:
     """All stages over one DNS table; ``prefixes`` has ``prefix, asn``.
 
     A stage is planned when first asked for. Those that several others read
-    (networks, domain histograms, anomalies) are written once to the shared
-    folder, so the table is scanned once for each of them and not once for each
-    of their readers.
+    (answered look-ups, networks, domain histograms, anomalies) are written once
+    to the shared folder, so answers are judged once and the table is scanned once.
     """
 
     def __init__(self, dns: DataFrame, prefixes: DataFrame, min_resolutions: int = 50, suffixes: list[str] = SUFFIXES):
-        self.rows, self.prefixes, self.min_resolutions, self.suffixes = answered(dns), prefixes, min_resolutions, suffixes
+        self.dns, self.prefixes, self.min_resolutions, self.suffixes = dns, prefixes, min_resolutions, suffixes
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        return materialize(answered(self.dns), "answered")
 
     @cached_property
     def nets(self) -> DataFrame:

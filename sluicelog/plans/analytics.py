@@ -15,7 +15,7 @@ SERVICE = attribution.Params(CORES, observe=900.0, gap=600.0, evaluate=300.0, mi
 PAGE = pageload.Params(CORES, window=1200.0, gap=600.0, min_share=0.02, checkpoints=3)
 MIN_RESOLUTIONS = 20
 #: A small routing table over the answered addresses; those beyond the first are nested in it, others have no route.
-PREFIXES = (("100.96.0.0/18", "65001"), ("100.96.0.0/20", "65002"), ("100.96.0.0/24", "65003"), ("100.96.1.0/24", "65004"), ("100.96.16.0/20", "65005"), ("100.96.128.0/17", "65006"))
+PREFIXES = (("100.127.0.0/16", "66000"), ("100.96.0.0/18", "65001"), ("100.96.0.0/20", "65002"), ("100.96.0.0/24", "65003"), ("100.96.1.0/24", "65004"), ("100.96.16.0/20", "65005"), ("100.96.128.0/17", "65006"))
 _CORE_LIST = ", ".join(f"'{c}'" for c in CORES)
 
 
@@ -32,8 +32,18 @@ def _prefixes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PREFIXES, "prefix string, asn string")
 
 
+def _hijacked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``dns``, in which resolvers with an address that ends in ``.2`` answer with few addresses of their own and one long time to live: what the study is to find."""
+    dns = _t(spark, sf_dir, "dns")
+    rogue = F.col("s_ip").like("%.2") & (F.size("answers") > 0)
+    return dns.withColumns({
+        "answers": F.when(rogue, F.array(F.concat(F.lit("100.127.0."), (F.length("query") % 4).cast("string")))).otherwise(F.col("answers")),
+        "answer_ttls": F.when(rogue, F.array((F.length("query") % 2 + 86400).cast("bigint"))).otherwise(F.col("answer_ttls")),
+    })
+
+
 def _study(spark: SparkSession, sf_dir: str) -> resolvers.Study:
-    return resolvers.Study(_t(spark, sf_dir, "dns"), _prefixes(spark), MIN_RESOLUTIONS)
+    return resolvers.Study(_hijacked(spark, sf_dir), _prefixes(spark), MIN_RESOLUTIONS)
 
 
 def traffic_per_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +169,7 @@ def _known_domains(spark: SparkSession, sf_dir: str, s: resolvers.Study) -> Data
     The tables' content networks have invented names with a label ``edge-...``, which stands for ``edgekey``.
     """
     asns = s.domains.where("feature = 'asn'").groupBy("fqdn", "value").agg(F.countDistinct("resolver").alias("n")).groupBy("fqdn").agg(F.collect_list(F.when(F.col("n") >= 2, F.col("value"))).alias("asns"))
-    answers = _t(spark, sf_dir, "dns").select(F.lower("query").alias("fqdn"), F.explode("answers").alias("x")).where("fqdn IS NOT NULL AND x IS NOT NULL")
+    answers = _hijacked(spark, sf_dir).select(F.lower("query").alias("fqdn"), F.explode("answers").alias("x")).where("fqdn IS NOT NULL AND x IS NOT NULL")
     named = answers.where(~ip.is_ip(F.col("x"))).withColumn("x", F.regexp_replace(F.lower("x"), r"(^|\.)edge-[^.]*", "$1edgekey"))
     aliases = named.groupBy("fqdn").agg(F.collect_set("x").alias("aliases"))
     none = F.array().cast("array<string>")
@@ -226,6 +236,8 @@ _NAMES = """
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: globals()[name] for name in _NAMES.split()}
 
 _V4 = r"regexp_full_match({x}, '(0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9]))(\.0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){{3}}')"
+#: Groups of hexadecimal digits, with one run of them left out at most: eight in all, or fewer than eight and one "::".
+_V6 = "(regexp_full_match(x, '([0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}') AND NOT contains(x, ':::') AND len(string_split(x, '::')) <= 2 AND (NOT starts_with(x, ':') OR starts_with(x, '::')) AND (NOT ends_with(x, ':') OR ends_with(x, '::')) AND (CASE WHEN contains(x, '::') THEN len(list_filter(string_split(x, ':'), lambda g: g <> '')) <= 7 ELSE len(string_split(x, ':')) = 8 END))"
 _NUMBER = "(CAST(split_part({x}, '.', 1) AS BIGINT) * 16777216 + CAST(split_part({x}, '.', 2) AS BIGINT) * 65536 + CAST(split_part({x}, '.', 3) AS BIGINT) * 256 + CAST(split_part({x}, '.', 4) AS BIGINT))"
 _ROUTES = "(VALUES " + ", ".join(f"({sum(int(b) << 8 * (3 - i) for i, b in enumerate(p.split('/')[0].split('.')))}, {p.split('/')[1]}, '{a}')" for p, a in PREFIXES) + ") AS p(net, bits, asn)"
 
@@ -277,9 +289,11 @@ _VISITS = f"""{_FINISHED.replace("WITH ", "WITH RECURSIVE ", 1)},
     pl AS (SELECT *, row_number() OVER (PARTITION BY core ORDER BY weight, support) - 1 AS p, count(*) OVER (PARTITION BY core) AS n FROM wt),
     md AS (SELECT core, support, weight, CAST(CASE WHEN n < {PAGE.checkpoints} THEN p ELSE ((p + 1) * {PAGE.checkpoints} - 1) // n END + 1 AS INT) AS checkpoint FROM pl)"""
 
-_DNS = f"""WITH d AS (SELECT row_id, c_ip, s_ip AS resolver, lower(query) AS fqdn, list_distinct(list_filter(coalesce(answers, []), lambda x: x IS NOT NULL AND {_V4.format(x="x")})) AS ad,
+_HIJACKED = """h AS (SELECT * REPLACE (CASE WHEN s_ip LIKE '%.2' AND len(answers) > 0 THEN ['100.127.0.' || (length(query) % 4)::VARCHAR] ELSE answers END AS answers,
+        CASE WHEN s_ip LIKE '%.2' AND len(answers) > 0 THEN [length(query)::BIGINT % 2 + 86400] ELSE answer_ttls END AS answer_ttls) FROM dns)"""
+_DNS = f"""WITH {_HIJACKED}, d AS (SELECT row_id, c_ip, s_ip AS resolver, lower(query) AS fqdn, list_distinct(list_filter(coalesce(answers, []), lambda x: x IS NOT NULL AND {_V4.format(x="x")})) AS ad,
         len(list_filter(coalesce(answers, []), lambda x: x IS NULL OR NOT {_V4.format(x="x")})) AS clen, list_filter(coalesce(answer_ttls, []), lambda x: x IS NOT NULL) AS ttls
-        FROM dns WHERE resp_code = 'NOERROR' AND flags_resp & 4 <> 0 AND flags_resp & 8 <> 0),
+        FROM h WHERE resp_code = 'NOERROR' AND flags_resp & 4 <> 0 AND flags_resp & 8 <> 0),
     ad AS (SELECT row_id, unnest(ad) AS x FROM d), nets AS (SELECT * FROM {_network("SELECT x FROM ad")}),
     u AS (SELECT * FROM d WHERE len(ad) > 0),
     hd AS (SELECT resolver, fqdn, feature, value, count(*) AS cnt FROM (
@@ -321,7 +335,7 @@ SQL = {
     "name_service_form": f"SELECT DISTINCT name, {_FORM} AS form FROM flows",
     "name_site": f"""SELECT DISTINCT fqdn, array_to_string(list_slice(string_split(bare, '.'), -2, -1), '.') AS second, array_to_string(list_slice(string_split(bare, '.'), -3, -1), '.') AS third, {names.site_sql("fqdn")} AS site
         FROM (SELECT lower(query) AS fqdn, regexp_replace(lower(query), '[.]$', '') AS bare FROM dns WHERE query IS NOT NULL AND query <> '')""",
-    "address_kinds": f"SELECT x, v4, contains(x, ':') AS v6, v4 OR contains(x, ':') AS any FROM (SELECT DISTINCT x, {_V4.format(x='x')} AS v4 FROM (SELECT unnest(answers) AS x FROM dns UNION ALL SELECT c_ip FROM flows) WHERE x IS NOT NULL)",
+    "address_kinds": f"SELECT x, v4, {_V6} AS v6, v4 OR {_V6} AS any FROM (SELECT DISTINCT x, {_V4.format(x='x')} AS v4 FROM (SELECT unnest(answers) AS x FROM dns UNION ALL SELECT c_ip FROM flows) WHERE x IS NOT NULL)",
     "address_networks": f"SELECT * FROM {_network('SELECT unnest(answers) AS x FROM dns')} WHERE x IS NOT NULL",
     "http_url_parts": """WITH h AS (SELECT row_id, method, host, path, s_port FROM http)
         SELECT row_id, CASE WHEN method = 'CONNECT' THEN CASE WHEN host IS NOT NULL AND s_port IS NOT NULL THEN host END WHEN method IS NULL OR method <> 'CONNECT' THEN host END AS host,
@@ -345,6 +359,14 @@ SQL = {
     "resolver_summary": f"{_DNS} SELECT * FROM sm",
     "resolver_report": f"""{_DNS} SELECT sm.resolver, queried_domains, count, clients, coalesce(asn, '-') AS asn, coalesce(string_agg(DISTINCT fqdn, ':' ORDER BY fqdn), '-') AS domains, coalesce(string_agg(DISTINCT server, ':' ORDER BY server), '-') AS servers
         FROM sm LEFT JOIN su ON sm.resolver IS NOT DISTINCT FROM su.resolver GROUP BY 1, 2, 3, 4, 5""",
+    "resolver_verified": f"""{_DNS}, rp AS (SELECT sm.resolver, queried_domains, count, clients, coalesce(asn, '-') AS asn, coalesce(string_agg(DISTINCT fqdn, ':' ORDER BY fqdn), '-') AS domains, coalesce(string_agg(DISTINCT server, ':' ORDER BY server), '-') AS servers
+        FROM sm LEFT JOIN su ON sm.resolver IS NOT DISTINCT FROM su.resolver GROUP BY 1, 2, 3, 4, 5),
+        ka AS (SELECT fqdn, value AS asn FROM hd WHERE feature = 'asn' GROUP BY 1, 2 HAVING count(DISTINCT resolver) >= 2),
+        kc AS (SELECT lower(query) AS fqdn, bool_or(regexp_matches(lower(x), '(^|[.])(edge-[^.]*|akamaiedge|edgekey|akamai|edgesuite|akadns)([.]|$)')) AS cdn FROM (SELECT query, unnest(answers) AS x FROM h)
+            WHERE x IS NOT NULL AND NOT {_V4.format(x="x")} AND NOT contains(x, ':') GROUP BY 1),
+        ju AS (SELECT su.resolver, su.asn, bool_or(ka.asn IS NOT NULL) AS known, bool_and(coalesce(cdn, false)) AS cdn FROM (SELECT DISTINCT resolver, asn, fqdn FROM su) AS su
+            LEFT JOIN ka ON ka.fqdn = su.fqdn AND ka.asn = su.asn LEFT JOIN kc ON kc.fqdn = su.fqdn GROUP BY 1, 2)
+        SELECT rp.*, CASE WHEN known THEN 'Verified.' WHEN cdn THEN 'CDN.' ELSE '' END AS hint FROM rp LEFT JOIN ju ON ju.resolver IS NOT DISTINCT FROM rp.resolver AND ju.asn = rp.asn""",
     "univariate_gaussian": "WITH m AS (SELECT avg(s_bytes) AS m, stddev_pop(s_bytes) AS s FROM flows) SELECT row_id, s_bytes FROM flows, m WHERE s_bytes > m + 3 * s OR s_bytes < m - 3 * s",
     "univariate_boxplot": "WITH m AS (SELECT quantile_disc(s_bytes, 0.25) AS a, quantile_disc(s_bytes, 0.75) AS b FROM flows) SELECT row_id, s_bytes FROM flows, m WHERE s_bytes > b + 3 * (b - a) OR s_bytes < a - 3 * (b - a)",
     "density_clusters": """WITH RECURSIVE p AS (SELECT min(p_partkey) AS id, CAST(p_size AS DOUBLE) AS x, count(*) / 10.0::DOUBLE AS y FROM part GROUP BY p_size),
