@@ -16,6 +16,8 @@ from . import windows
 from .traffic import leaders
 
 UNKNOWN = "UNKNOWN"
+#: Rules that tasks may hold (some hundred bytes each).
+MOST_RULES = 1_000_000
 _DAY = 86400
 
 
@@ -103,12 +105,16 @@ def classify(flows: DataFrame, learned: DataFrame, p: Params, order: tuple[str,
     Clients are followed by day. A client's day is cut wherever nothing of it
     can matter later: no window can still be open and all history is
     forgotten. Groups so are as short as the client's pauses allow. A missing
-    end counts as the start. The learned rules are bounded by the cores and
-    supports; they are collected once and sent along.
+    end counts as the start. The learned rules, a few for each core, are
+    collected when this is called and sent along; more than ``MOST_RULES`` are
+    refused, never cut.
     """
     ship(flows.sparkSession)
     bags: dict[str, dict[str, float]] = {}
-    for r in learned.collect():
+    few = learned.limit(MOST_RULES + 1).collect()
+    if len(few) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules; raise min_share")
+    for r in few:
         bags.setdefault(r.core, {})[r.support] = r.weight
     clean = F.coalesce("name", F.lit("-"))
     rows = flows.withColumns({"_clean": clean, "_form": service_form(clean), "_end": F.coalesce("time_end", "time_start"), "_when": F.col("time_start")})

@@ -3,8 +3,6 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import TableType
-
 
 def leaders(totals: DataFrame, value: str, key: str, n: int) -> DataFrame:
     """The ``n`` rows of greatest ``value``, ties by ``key`` ascending: heaps in the map tasks, never a full sort."""
@@ -20,6 +18,3 @@ def domain_traffic(flows: DataFrame, n: int = 50) -> DataFrame:
 def contacted_resolvers(dns: DataFrame, n: int = 50) -> DataFrame:
     """``resolver, queries``: transactions by server; an unknown server is one of them."""
     return leaders(dns.groupBy(F.col("s_ip").alias("resolver")).agg(F.count(F.lit(1)).alias("queries")), "queries", "resolver", n)
-
-
-DOMAIN_TRAFFIC_INPUT, CONTACTED_RESOLVERS_INPUT = TableType.NAMED_FLOWS, TableType.DNS

@@ -9,10 +9,14 @@ time first; flows alike in all of them are in no order and none precedes the
 other.
 """
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import service_form
+from ..session import ship
 
 ORDER = ("time_start", "name", "s_ip", "c_port", "s_port")
 #: Seconds of a bucket in which silence is looked up, if the gap isn't longer.
@@ -95,19 +99,32 @@ def finished_windows(flows: DataFrame, cores: list[str], gap: float, length: flo
 def visits(flows: DataFrame, cores: list[str], length: float, order: tuple[str, ...] = ORDER) -> DataFrame:
     """``c_ip, core, start, at``: visits to core domains while the client has no window open, where a window stays open for ``length``.
 
-    Runs of visits less than ``length`` apart are folded on their own, since
-    the flow after a longer silence always opens a window.
+    Runs of visits less than ``length`` apart are gone through on their own, in
+    order, since the flow after a longer silence always opens a window; only
+    the last opening is held, however long a run is.
     """
+    ship(flows.sparkSession)
     last = flows.agg(F.max("time_start")).scalar()
     by_client = Window.partitionBy("c_ip").orderBy("at")
     core = flows.where(F.col("name").isin(list(cores))).select("c_ip", F.col("name").alias("core"), F.col("time_start").alias("start"), _order(order).alias("at"))
     breaks = F.coalesce(F.col("start") - F.lag("start").over(by_client) > length, F.lit(True)).cast("long")
-    runs = core.withColumn("_break", breaks).withColumn("_run", F.sum("_break").over(by_client.rowsBetween(Window.unboundedPreceding, 0)))
-    entry = F.struct("at", "start", "core")
-    listed = runs.groupBy("c_ip", "_run").agg(F.array_sort(F.collect_list(entry)).alias("all"))
-    # only openings are kept while folding; the last one says whether a window is open
-    greedy = F.aggregate(
-        F.slice("all", F.lit(2), F.size("all")), F.slice("all", 1, 1), lambda kept, x: F.when(x["start"] - F.element_at(kept, -1)["start"] > length, F.concat(kept, F.array(x))).otherwise(kept)
-    )
-    opened = listed.select("c_ip", F.explode(greedy).alias("v")).select("c_ip", "v.core", "v.start", "v.at")
+    runs = core.withColumn("_break", breaks).withColumn("_run", F.sum("_break").over(by_client.rowsBetween(Window.unboundedPreceding, 0))).drop("_break")
+    ordered = runs.repartition("c_ip", "_run").sortWithinPartitions("c_ip", "_run", "at").select("c_ip", "_run", "start", "core", "at")
+    opened = ordered.mapInArrow(_openings(length), ordered.schema).select("c_ip", "core", "start", "at")
     return opened.where(F.col("start") + length < last)
+
+
+def _openings(length: float):
+    """Visits of one run after another in; those that no earlier opening of the run covers out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, opened = None, 0.0
+        for batch in batches:
+            kept = []
+            for i, (client, no, start) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+                if (client, no) != now or start - opened > length:
+                    kept.append(i)
+                    now, opened = (client, no), start
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    return run

@@ -367,6 +367,11 @@ SQL = {
         ju AS (SELECT su.resolver, su.asn, bool_or(ka.asn IS NOT NULL) AS known, bool_and(coalesce(cdn, false)) AS cdn FROM (SELECT DISTINCT resolver, asn, fqdn FROM su) AS su
             LEFT JOIN ka ON ka.fqdn = su.fqdn AND ka.asn = su.asn LEFT JOIN kc ON kc.fqdn = su.fqdn GROUP BY 1, 2)
         SELECT rp.*, CASE WHEN known THEN 'Verified.' WHEN cdn THEN 'CDN.' ELSE '' END AS hint FROM rp LEFT JOIN ju ON ju.resolver IS NOT DISTINCT FROM rp.resolver AND ju.asn = rp.asn""",
+    "feature_vectors": """WITH h AS (SELECT row_id, coalesce(method, '__NA__') AS m, coalesce(response_body_len, 0)::DOUBLE AS x FROM http),
+        k AS (SELECT m, row_number() OVER (ORDER BY count(*) DESC, m) - 1 AS i, count(*) OVER () AS n FROM h GROUP BY m),
+        v AS (SELECT row_id, list_concat([x], list_transform(range(n - 1), lambda j: CASE WHEN j = i THEN 1.0 ELSE 0.0 END::DOUBLE)) AS f FROM h JOIN k ON h.m = k.m),
+        w AS (SELECT row_id, f, sqrt(list_sum(list_transform(f, lambda e: e * e))) AS norm FROM v)
+        SELECT row_id, list_transform(f, lambda e: round(CASE WHEN norm > 0 THEN e / norm ELSE e END, 9)) AS features FROM w""",
     "univariate_gaussian": "WITH m AS (SELECT avg(s_bytes) AS m, stddev_pop(s_bytes) AS s FROM flows) SELECT row_id, s_bytes FROM flows, m WHERE s_bytes > m + 3 * s OR s_bytes < m - 3 * s",
     "univariate_boxplot": "WITH m AS (SELECT quantile_disc(s_bytes, 0.25) AS a, quantile_disc(s_bytes, 0.75) AS b FROM flows) SELECT row_id, s_bytes FROM flows, m WHERE s_bytes > b + 3 * (b - a) OR s_bytes < a - 3 * (b - a)",
     "density_clusters": """WITH RECURSIVE p AS (SELECT min(p_partkey) AS id, CAST(p_size AS DOUBLE) AS x, count(*) / 10.0::DOUBLE AS y FROM part GROUP BY p_size),

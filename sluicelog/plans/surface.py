@@ -5,6 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..workdir import temporary
+
 TABLES = "region nation customer supplier part orders lineitem events flows dns http documents".split()
 
 
@@ -34,7 +36,6 @@ BOTH = {
     "join_right": "SELECT n_name, r_name FROM region RIGHT JOIN nation ON r_regionkey = n_regionkey AND r_name <> 'ASIA'",
     "join_full": "SELECT s_suppkey, c_custkey FROM (SELECT * FROM supplier WHERE s_acctbal > 0) s FULL JOIN (SELECT * FROM customer WHERE c_acctbal < 0) c ON s_suppkey = c_custkey",
     "join_using_three": "SELECT r_name, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",
-    "join_theta_interval": "SELECT a.event_id AS a_id, b.event_id AS b_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL '1' HOUR",
     "subquery_exists": "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT') AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')",
     "subquery_scalar": "SELECT p_partkey FROM part WHERE p_retailprice > (SELECT avg(p_retailprice) FROM part) AND p_size = (SELECT max(p_size) FROM part)",
     "join_lateral": """SELECT c_custkey, x.n, x.most FROM customer, LATERAL (SELECT count(*) AS n, max(o_totalprice) AS most FROM orders WHERE o_custkey = c_custkey) AS x""",
@@ -68,6 +69,9 @@ BOTH = {
     "fn_conditional": "SELECT row_id, CASE WHEN status_code < 300 THEN 'ok' WHEN status_code < 400 THEN 'moved' WHEN status_code IS NULL THEN 'none' ELSE 'bad' END AS kind, coalesce(content_type, server, '?') AS what, nullif(method, 'GET') AS other FROM http",
     "cte_chain": "WITH a AS (SELECT c_ip, count(*) AS n FROM flows GROUP BY c_ip), b AS (SELECT n, count(*) AS clients FROM a GROUP BY n) SELECT n, clients FROM b WHERE clients > 1",
     "cte_recursive_range": "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 60) SELECT n, CAST(n AS BIGINT) * n AS sq FROM t",
+    "cte_recursive_components": """WITH RECURSIVE c(nation, least, step) AS (SELECT n_nationkey, n_nationkey, 0 FROM nation UNION ALL
+        SELECT c.nation, n.n_nationkey, c.step + 1 FROM c JOIN nation m ON m.n_nationkey = c.least JOIN nation n ON n.n_regionkey = m.n_regionkey AND n.n_nationkey < c.least WHERE c.step < 25)
+        SELECT nation, min(least) AS component, count(*) AS paths FROM c GROUP BY nation""",
     "pricing_summary": """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS charge, count(*) AS n
         FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus""",
     "shipping_revenue": """SELECT o_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
@@ -90,13 +94,53 @@ def _join_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "dns").join(_t(spark, sf_dir, "flows").select("c_ip"), "c_ip", "left_anti").select("row_id", "c_ip")
 
 
+def _join_theta_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a user within the hour after another: hours are equal or adjoin, so a busy user is spread over them."""
+    events = _t(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.date_trunc("HOUR", "ts").cast("timestamp_ntz").alias("hour"))
+    hour = F.expr("INTERVAL '1' HOUR")
+    a = events.select(F.col("event_id").alias("a_id"), "user_id", F.col("ts").alias("from"), F.explode(F.array("hour", F.col("hour") + hour)).alias("hour"))
+    b = events.select(F.col("event_id").alias("b_id"), "user_id", "ts", "hour")
+    return a.join(b, ["user_id", "hour"]).where((F.col("ts") > F.col("from")) & (F.col("ts") <= F.col("from") + hour)).select("a_id", "b_id")
+
+
 def _join_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The client's last look-up at or before each flow: one sort of both sides together instead of a join."""
+    """The client's last look-up at or before each flow: one sort of both sides by client and day; what a day ends with is carried on to the next ones."""
+    day = F.floor(F.col("t") / 86400).alias("day")
     flows = _t(spark, sf_dir, "flows").select("c_ip", F.col("time_start").alias("t"), F.lit(1).alias("side"), "row_id")
     dns = _t(spark, sf_dir, "dns").where("req_time IS NOT NULL").select("c_ip", F.col("req_time").alias("t"), F.lit(0).alias("side"), "row_id")
-    w = Window.partitionBy("c_ip").orderBy("t", "side", "row_id").rowsBetween(Window.unboundedPreceding, 0)
-    both = flows.unionByName(dns).withColumn("dns_id", F.last(F.when(F.col("side") == 0, F.col("row_id")), True).over(w))
-    return both.where("side = 1").select("row_id", "dns_id")
+    both = flows.unionByName(dns).select("*", day)
+    look_up = F.when(F.col("side") == 0, F.col("row_id"))
+    within = Window.partitionBy("c_ip", "day").orderBy("t", "side", "row_id").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("here", F.last(look_up, True).over(within)).where("side = 1").select("c_ip", "day", "row_id", "here")
+    days = both.groupBy("c_ip", "day").agg(F.max_by(look_up, F.when(F.col("side") == 0, F.struct("t", "row_id"))).alias("last"))
+    earlier = Window.partitionBy("c_ip").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    carried = days.select(F.col("c_ip").alias("_c"), F.col("day").alias("_d"), F.last("last", True).over(earlier).alias("carried"))
+    same = F.col("c_ip").eqNullSafe(F.col("_c")) & F.col("day").eqNullSafe(F.col("_d"))
+    return found.join(carried, same, "left").select("row_id", F.coalesce("here", "carried").alias("dns_id"))
+
+
+def _join_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # 5 regions at any scale
+    return _t(spark, sf_dir, "nation").crossJoin(F.broadcast(_t(spark, sf_dir, "region"))).select("n_nationkey", "r_regionkey", (F.col("n_regionkey") == F.col("r_regionkey")).alias("own"))
+
+
+def _join_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # five bands at any scale; no equality at all
+    bands = spark.createDataFrame([(i, i * 400.0, (i + 1) * 400.0) for i in range(5)], "band int, low double, high double")
+    parts = _t(spark, sf_dir, "part")
+    return parts.join(F.broadcast(bands), (F.col("p_retailprice") >= F.col("low")) & (F.col("p_retailprice") < F.col("high"))).select("p_partkey", "band")
+
+
+def _scan(kind: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A whole table written to the shared folder in another format and scanned from there."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        orders = _t(spark, sf_dir, "orders")
+        path = temporary(spark, f"orders-{kind}")
+        orders.write.format(kind).save(path)
+        return spark.read.format(kind).schema(orders.schema).load(path).where("o_totalprice > 1000").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority")
+
+    return run
 
 
 def _agg_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,6 +223,10 @@ FRAMES = {
     "join_broadcast": (_join_broadcast, "SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey"),
     "join_semi": (_join_semi, "SELECT row_id, c_ip FROM flows WHERE c_ip IN (SELECT c_ip FROM dns)"),
     "join_anti": (_join_anti, "SELECT row_id, c_ip FROM dns WHERE c_ip IS NULL OR NOT EXISTS (SELECT 1 FROM flows WHERE flows.c_ip = dns.c_ip)"),
+    "join_theta_interval": (_join_theta_interval, "SELECT a.event_id AS a_id, b.event_id AS b_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL '1' HOUR"),
+    "join_cross": (_join_cross, "SELECT n_nationkey, r_regionkey, n_regionkey = r_regionkey AS own FROM nation CROSS JOIN region"),
+    "join_bands": (_join_bands, "SELECT p_partkey, CAST(floor(p_retailprice / 400) AS INT) AS band FROM part WHERE p_retailprice >= 0 AND p_retailprice < 2000"),
+    **{f"scan_{kind}": (_scan(kind), "SELECT o_orderkey, o_custkey, o_orderdate, o_totalprice, o_orderpriority FROM orders WHERE o_totalprice > 1000") for kind in ("csv", "json", "orc")},
     "join_asof": (
         _join_asof,
         """WITH b AS (SELECT c_ip, time_start AS t, 1 AS side, row_id FROM flows UNION ALL SELECT c_ip, req_time, 0, row_id FROM dns WHERE req_time IS NOT NULL)

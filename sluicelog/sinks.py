@@ -1,10 +1,11 @@
 """Writers of results. All but ``to_local_csv`` write from the executors."""
 
 import csv
+import json
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,5 +62,12 @@ def to_visits(df: DataFrame, path: str) -> None:
 
 
 def to_model(df: DataFrame, path: str) -> None:
-    """A learned table as JSON lines, to be read back by ``spark.read.json`` with its schema."""
+    """A learned table as JSON lines, to be read back by ``read_model``; its schema lies beside it."""
     df.write.json(path)
+    df.sparkSession.createDataFrame([(df.schema.json(),)], "schema string").coalesce(1).write.mode("overwrite").text(f"{path.rstrip('/')}.schema")
+
+
+def read_model(spark: SparkSession, path: str) -> DataFrame:
+    """A table that ``to_model`` wrote, in its own types, to be applied to another day's data."""
+    schema = T.StructType.fromJson(json.loads(spark.read.text(f"{path.rstrip('/')}.schema").first().value))
+    return spark.read.schema(schema).json(path)

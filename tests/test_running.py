@@ -133,3 +133,19 @@ def test_materialize(spark):
     df = workdir.materialize(spark.range(10).withColumn("r", F.rand()), "test")
     assert sorted(map(tuple, df.collect())) == sorted(map(tuple, df.collect())) and df.count() == 10
     assert workdir.shared_dir(spark) == workdir.shared_dir(spark)
+
+
+def test_model_of_one_day_on_another(spark, tmp_path):
+    """What was learned, written and read back labels another day's flows as the same rules at once do."""
+    from sluicelog.operators import attribution
+
+    params = attribution.Params(("core.it",), 10.0, 10.0, 5.0, 0.05)
+    schema = "row_id long, c_ip string, s_ip string, c_port long, s_port long, time_start double, time_end double, name string"
+    one = [(i, "c", "s", 1, 80, 100.0 * (i // 2) + i % 2, None, ("core.it", "cdn.it")[i % 2]) for i in range(20)]
+    two = spark.createDataFrame([(r[0], r[1], r[2], r[3], r[4], r[5] + 86_400, *r[6:]) for r in one] + [(99, "c", "s", 1, 80, 90_000.0, None, "other.it")], schema)
+    learned = attribution.rules(spark.createDataFrame(one, schema), params)
+    sinks.to_model(learned, f"{tmp_path}/rules")
+    again = sinks.read_model(spark, f"{tmp_path}/rules")
+    assert again.schema.simpleString() == learned.schema.simpleString() and sorted(map(tuple, again.collect())) == sorted(map(tuple, learned.collect()))
+    label = lambda rules: sorted((r.row_id, r.service) for r in attribution.classify(two, rules, params).collect())
+    assert label(again) == label(learned) and (99, "UNKNOWN") in label(again) and {s for _, s in label(again)} == {"UNKNOWN", "core.it"}
