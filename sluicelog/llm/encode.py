@@ -364,3 +364,31 @@ def token_counts(df: DataFrame, id: str, text: str, directory: str = TOKENIZER_D
     kind = df.schema[id].dataType.simpleString()
     shared = share(df, directory, name)
     return df.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(_counter(shared), f"id {kind}, n_tokens long").withColumnsRenamed({"id": id})
+
+
+def load_bytes(directory: str = TOKENIZER_DIR, name: str = TOKENIZER) -> list[bytes]:
+    """What each id stands for."""
+    with open(f"{directory}/{name}.json", encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    byte = {letter: b for b, letter in enumerate(byte_names())}
+    out = [b""] * (max(vocabulary.values()) + 1)
+    for token, i in vocabulary.items():
+        out[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
+    return out
+
+
+def decoded_md5(df: DataFrame, id: str, ids: str, directory: str = TOKENIZER_DIR, name: str = TOKENIZER) -> DataFrame:
+    """``id`` and ``md5`` of the bytes that ``ids`` stand for; NULL ids stand for none."""
+    ship(df.sparkSession)
+    spelled = df.sparkSession.sparkContext.broadcast(load_bytes(directory, name))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        parts = spelled.value
+        for batch in batches:
+            sums = [hashlib.md5(b"".join([parts[i] for i in x or ()]), usedforsecurity=False).hexdigest() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.string())], ["id", "md5"])
+
+    kind = df.schema[id].dataType.simpleString()
+    return df.select(F.col(id).alias("id"), ids).mapInArrow(run, f"id {kind}, md5 string").withColumnsRenamed({"id": id})

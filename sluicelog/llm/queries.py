@@ -1,9 +1,10 @@
 """The queries p1, p4, p6, p8, p9 and p10 with their SQL twins."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import plain_form, plain_form_sql
+from ..workdir import materialize
 from . import cooccurrence, distinct, encode, packing, quantiles, splitting
 
 CAPACITY = 2048
@@ -126,6 +127,48 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode(_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p8_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MD5 of each document's text as its ids spell it."""
+    return encode.decoded_md5(p8_ids(spark, sf_dir), "doc_id", "ids").withColumnRenamed("md5", "text_md5")
+
+
+def p9_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document whether its pieces hold as many tokens as its ids, all but the last fill a container, and no container of theirs is over its capacity or holds other than its fill."""
+    packed = materialize(p9_containers(spark, sf_dir), "packed")
+    fills = packed.groupBy("container").agg((F.sum("size") == F.max("fill")).alias("_sum"), (F.max("fill") <= CAPACITY).alias("_under"))
+    last = F.max("piece_no").over(Window.partitionBy("doc_id"))
+    whole = packed.withColumn("_full", (F.col("piece_no") == last) | (F.col("size") == CAPACITY)).join(fills, "container")
+    docs = whole.groupBy("doc_id").agg(F.sum("size").alias("_n"), F.count(F.lit(1)).alias("_pieces"), F.bool_and("_full").alias("full_before_last"), F.bool_and(F.col("_sum") & F.col("_under")).alias("within_capacity"))
+    ids = p8_ids(spark, sf_dir).select("doc_id", F.size("ids").alias("_ids"))
+    return ids.join(docs, "doc_id", "left").select(
+        "doc_id", F.coalesce(F.col("_n") == F.col("_ids"), F.lit(False)).alias("tokens_agree"), F.coalesce(F.col("_pieces") == F.greatest(F.lit(1), F.ceil(F.col("_ids") / CAPACITY)), F.lit(False)).alias("pieces_agree"), "full_before_last", "within_capacity"
+    )
+
+
+def p10_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document whether its pieces are what the text holds there, cover it, stay within the limit (counted again), overlap by 32 to 64 tokens (counted alone), and are more than one only beyond the limit."""
+    limits = splitting.Limits()
+    pieces = materialize(p10_pieces(spark, sf_dir), "pieces")
+    by_doc = Window.partitionBy("doc_id").orderBy("piece_no")
+    after, name = F.lead("start").over(by_doc), F.concat_ws("-", "doc_id", "piece_no")
+    linked = pieces.select("*", name.alias("_name"), after.alias("_after"), F.expr("substring(text, lead(start) OVER (PARTITION BY doc_id ORDER BY piece_no) - start + 1, end - lead(start) OVER (PARTITION BY doc_id ORDER BY piece_no))").alias("_shared"))
+    again = encode.token_counts(linked, "_name", "text").withColumnRenamed("n_tokens", "_again")
+    shared = encode.token_counts(linked.where("_after IS NOT NULL"), "_name", "_shared").withColumnRenamed("n_tokens", "_both")
+    texts = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("_whole"))
+    joined = linked.join(again, "_name").join(shared, "_name", "left").join(texts, "doc_id")
+    here = F.expr("substring(_whole, start + 1, end - start)")
+    docs = joined.groupBy("doc_id").agg(
+        F.bool_and(F.coalesce(F.col("text") == here, F.col("_whole").isNull())).alias("texts_agree"),
+        (F.min("start") == 0).alias("_first"), (F.max("end") == F.coalesce(F.max(F.length("_whole")), F.lit(0))).alias("_last"), F.bool_and(F.coalesce((F.col("_after") > F.col("start")) & (F.col("_after") < F.col("end")), F.lit(True))).alias("_linked"),
+        F.bool_and((F.col("_again") == F.col("n_tokens")) & (F.col("n_tokens") <= limits.most)).alias("within_limit"),
+        F.bool_and(F.coalesce(F.col("_both").between(limits.least_shared, limits.most_shared), F.lit(True))).alias("overlaps_hold"), F.count(F.lit(1)).alias("_pieces"),
+    )
+    ids = p8_ids(spark, sf_dir).select("doc_id", F.size("ids").alias("_ids"))
+    return ids.join(docs, "doc_id", "left").select(
+        "doc_id", "texts_agree", (F.col("_first") & F.col("_last") & F.col("_linked")).alias("covered"), "within_limit", "overlaps_hold", ((F.col("_pieces") > 1) == (F.col("_ids") > limits.most)).alias("split_if_needed")
+    )
+
+
 def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in containers of 2,048 tokens."""
     sizes = encode.token_counts(_table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -149,7 +192,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_pairs": p1_pairs, "p1_counts": p1_counts, "p4_found": p4_found, "p4_counts": p4_counts, "p4_compare": p4_compare, "p4_check": p4_check, "p6_found": p6_found, "p6_percentiles": p6_percentiles, "p6_check": p6_check,
-    "p8_ids": p8_ids, "p9_found": p9_found, "p9_containers": p9_containers, "p10_found": p10_found, "p10_pieces": p10_pieces,
+    "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_found": p9_found, "p9_containers": p9_containers, "p9_check": p9_check, "p10_found": p10_found, "p10_pieces": p10_pieces, "p10_check": p10_check,
 }
 
 _BASKETS = f"""WITH i AS (SELECT DISTINCT c_ip, CAST(floor(time_start / 86400) AS INT) AS d, {plain_form_sql("name")} AS x FROM flows WHERE {plain_form_sql("name")} IS NOT NULL),
@@ -166,6 +209,9 @@ SQL = {
     "p1_pairs": f"{_BASKETS} SELECT * FROM q",
     "p1_counts": f"{_BASKETS.replace(' HAVING count(*) >= 20', '')} SELECT * FROM q",
     "p1_found": f"{_BASKETS} SELECT name_a, name_b FROM q WHERE n_ab * n_baskets >= 8 * n_a * n_b",
+    "p8_roundtrip": "SELECT doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents",
+    "p9_check": "SELECT doc_id, true AS tokens_agree, true AS pieces_agree, true AS full_before_last, true AS within_capacity FROM documents",
+    "p10_check": "SELECT doc_id, true AS texts_agree, true AS covered, true AS within_limit, true AS overlaps_hold, true AS split_if_needed FROM documents",
     "p4_check": f"""WITH {_SERVED},
         e AS (SELECT 3 - grouping_id(day_utc, s_ip) AS level, day_utc, s_ip, count(DISTINCT c_ip) AS c_ip, count(DISTINCT q) AS query FROM r GROUP BY GROUPING SETS ((day_utc, s_ip), (day_utc), (s_ip), ())),
         u AS (UNPIVOT e ON c_ip, query INTO NAME counted VALUE n)
