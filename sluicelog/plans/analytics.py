@@ -194,9 +194,9 @@ def seasonal_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _t(spark, sf_dir, "part").groupBy("p_size").agg(F.min("p_partkey").alias("id"), F.count(F.lit(1)).alias("n"))
-    q = p.select("id", F.col("p_size").cast("double").alias("x"), (F.col("n") / 10.0).alias("y"))
-    return clustering.dbscan(q, "id", eps=1.2, min_points=4, features=["x", "y"])
+    """Clusters of all parts, one point each: its size and a twentieth of its price."""
+    q = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), (F.col("p_retailprice") / 20).alias("y"))
+    return clustering.dbscan(q, "id", eps=1.1, min_points=4, features=["x", "y"])
 
 
 def density_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -374,8 +374,8 @@ SQL = {
         SELECT row_id, list_transform(f, lambda e: round(CASE WHEN norm > 0 THEN e / norm ELSE e END, 9)) AS features FROM w""",
     "univariate_gaussian": "WITH m AS (SELECT avg(s_bytes) AS m, stddev_pop(s_bytes) AS s FROM flows) SELECT row_id, s_bytes FROM flows, m WHERE s_bytes > m + 3 * s OR s_bytes < m - 3 * s",
     "univariate_boxplot": "WITH m AS (SELECT quantile_disc(s_bytes, 0.25) AS a, quantile_disc(s_bytes, 0.75) AS b FROM flows) SELECT row_id, s_bytes FROM flows, m WHERE s_bytes > b + 3 * (b - a) OR s_bytes < a - 3 * (b - a)",
-    "density_clusters": """WITH RECURSIVE p AS (SELECT min(p_partkey) AS id, CAST(p_size AS DOUBLE) AS x, count(*) / 10.0::DOUBLE AS y FROM part GROUP BY p_size),
-        n AS (SELECT a.id AS a, b.id AS b FROM p AS a, p AS b WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 1.2),
+    "density_clusters": """WITH RECURSIVE p AS (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS x, p_retailprice / 20 AS y FROM part),
+        n AS (SELECT a.id AS a, b.id AS b FROM p AS a, p AS b WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 1.1),
         c AS (SELECT a AS id FROM n GROUP BY a HAVING count(*) >= 4),
         r AS (SELECT id, id AS to_id FROM c UNION SELECT r.id, n.b FROM r JOIN n ON n.a = r.to_id JOIN c ON c.id = n.b),
         l AS (SELECT id, min(to_id) AS least FROM r GROUP BY id), k AS (SELECT id, dense_rank() OVER (ORDER BY least) - 1 AS no FROM l),

@@ -273,6 +273,24 @@ def test_density_clients(spark, sf_dir):
     assert got == brute_dbscan({r.c_ip: (r.x, r.y) for r in rows}, 0.05, 4) and max(got.values()) > 0 and min(got.values()) == -1
 
 
+def test_dbscan_links_behind_the_rim(spark):
+    """The only link of two cells is a spot that lies outermost in none of the directions tried first."""
+    points = {1: (0.7, 0.0), 2: (0.55, 0.55), 3: (0.68, 0.27), 4: (1.603, 0.652), 5: (1.69, 0.66), 6: (1.69, 0.66), 7: (math.nan, 0.0), 8: (math.inf, 0.0)}
+    df = spark.createDataFrame([(i, list(x)) for i, x in points.items()], "id long, features array<double>")
+    got = {r.id: r.prediction for r in clustering.dbscan(df, "id", 1.0, 2).collect()}
+    assert got == brute_dbscan({i: x for i, x in points.items() if i < 7}, 1.0, 2) | {7: -1, 8: -1} and got[1] == got[5] == 0
+    assert {r.prediction for r in clustering.dbscan(df.where("id IN (1, 2, 4, 5, 6)"), "id", 1.0, 2).collect()} == {0, 1}
+
+
+@pytest.mark.parametrize("dimensions", [1, 3])
+def test_dbscan_other_dimensions(spark, dimensions):
+    rng = random.Random(dimensions)
+    points = {i: tuple(rng.uniform(0, (60, 0, 8)[dimensions - 1]) for _ in range(dimensions)) for i in range(300)}
+    df = spark.createDataFrame([(i, list(x)) for i, x in points.items()], "id long, features array<double>")
+    got = {r.id: r.prediction for r in clustering.dbscan(df, "id", (0.3, 0, 0.8)[dimensions - 1], 4).collect()}
+    assert got == brute_dbscan(points, (0.3, 0, 0.8)[dimensions - 1], 4) and max(got.values()) >= 2
+
+
 def test_dbscan_long_chain(spark):
     df = spark.range(300).select("id", F.array((F.col("id") * 0.9).cast("double")).alias("features"))
     rows = clustering.dbscan(df, "id", 1.0, 2).collect()
