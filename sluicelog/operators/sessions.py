@@ -13,6 +13,8 @@ running counts at either side.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..workdir import materialize
+
 
 def row_hash(columns: list[Column]) -> Column:
     """A 64-bit hash that tells NULL in one column from NULL in another."""
@@ -82,8 +84,11 @@ def distinct_per_session(values: DataFrame, sessions: DataFrame, column: str, ga
     of one session, so values are reduced to one a slot before they meet the
     sessions. A session is joined by the slots it covers, found by an equal
     (key, slot) after both sides name each slot; a slot at most touches the end
-    of one session, and events of a slot are of the same session.
+    of one session, and events of a slot are of the same session. The sessions
+    are written to the shared folder when this is called, since two sides of
+    the plan read them.
     """
+    sessions = materialize(sessions, "sessions")
     per_slot = (
         values.where(F.col(column).isNotNull() & F.col("time_ms").isNotNull())
         .select("key", _slot(F.col("time_ms"), gap_ms).alias("slot"), F.col(column).alias("_value"))
