@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from ..sources.registry import source
+from ..workdir import materialize
 
 _EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
 
@@ -32,7 +33,9 @@ def _lines(df: DataFrame, separator: str, width: int, cells: dict[int, str]) ->
 
 
 def _read(tool: str, table: str, *scans: DataFrame) -> DataFrame:
-    return source(tool, table).table_of(*scans)
+    """The table from lines that lie in files, as logs do, spread over the cores."""
+    spread = [s.repartition(s.sparkSession.sparkContext.defaultParallelism) for s in scans]
+    return source(tool, table).table_of(*[materialize(s, "lines") for s in spread])
 
 
 _ENDS = {2: "c_ip", 3: "c_port", 4: "s_ip", 5: "s_port"}
